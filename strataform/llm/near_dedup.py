@@ -11,9 +11,10 @@
    with the bucket's smallest id only (a star, never all pairs).
 4. Pairs whose collision-corrected Jaccard estimate is far too low go; the rest
    are confirmed on the full shingle sets. Confirmed links make components.
-5. Buckets that still hold several components get the pairs *between* those
-   components compared, in blocks, so a link that does not pass through a
-   bucket's smallest id is found as well. Nothing is capped.
+5. A hub with all that met it in some bucket is a family. Families that still
+   hold several components get the pairs *between* those components compared on
+   their full sets, in blocks, so a link that does not pass through a hub is found
+   as well. A block gives only links that join two components. Nothing is capped.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 """
@@ -31,7 +32,7 @@ from strataform.llm import scratch, words as W
 
 REGISTERS, ROWS_PER_BAND, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
-BLOCK = 512
+BLOCK = 256
 #: Estimates have a deviation of 0.036 at 0.8; below this margin a pair is not worth confirming.
 MARGIN = 0.2
 
@@ -211,24 +212,43 @@ def _linked(similarity: tuple[int, int]):
     return run
 
 
-def _across(least: float):
-    """Pairs between different components of one block pair of a bucket, with a likely estimate."""
-    rate = collision_rate()
+def _across(least: float, similarity: tuple[int, int]):
+    """Confirmed links between components of one block pair of a family; only those that join two components."""
+    rate, (top, bottom) = collision_rate(), similarity
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        component, home = table["component"].to_numpy(), table["home"].to_numpy()
+        ids, component, home = (table[c].to_numpy() for c in ("id", "component", "home"))
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         registers = _registers(table["sketch"].combine_chunks())
-        left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
-        a, b = [], []
-        for i in left:
-            other = right[(component[right] != component[i]) & ((ids[right] > ids[i]) | (low != high))]
-            other = other[jaccard_estimate(registers[other], registers[i], rate) >= least]
-            a += [np.minimum(ids[other], ids[i])]
-            b += [np.maximum(ids[other], ids[i])]
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        size = np.array([len(x) for x in sets])
+        vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        owner = {c: c for c in component.tolist()}
+
+        def find(x: int) -> int:
+            while owner[x] != x:
+                owner[x] = x = owner[owner[x]]
+            return x
+
+        links = []
+        right_all = np.flatnonzero(home == high)
+        for i in np.flatnonzero(home == low):
+            right = right_all[component[right_all] != component[i]]
+            right = right[bottom * np.minimum(size[right], size[i]) >= top * np.maximum(size[right], size[i])]
+            right = right[jaccard_estimate(registers[right], registers[i], rate) >= least]
+            if not len(right):
+                continue
+            own = np.zeros(len(vocabulary), bool)
+            own[code[edge[i] : edge[i + 1]]] = True
+            for j in right:
+                shared = int(own[code[edge[j] : edge[j + 1]]].sum())
+                if bottom * shared >= top * (size[i] + size[j] - shared):
+                    x, y = find(int(component[i])), find(int(component[j]))
+                    if x != y:
+                        owner[max(x, y)] = min(x, y)
+                        links.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -279,7 +299,7 @@ def near_duplicates(
     empty result; other columns are ignored, whatever their names. Ids are integers.
     """
     top, bottom = similarity
-    likely = top / bottom - MARGIN
+    least = top / bottom - MARGIN
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = scratch.written(
         rows.mapInArrow(_sketches(shingle_words, fold_case), "id bigint, n_shingles bigint, print1 bigint, print2 bigint, sketch binary"), "sketches"
@@ -292,41 +312,35 @@ def near_duplicates(
     )
 
     banded = heads.mapInArrow(_bands, "band bigint, id bigint")
-    buckets = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count("*").alias("size")).filter("hub < far")
-    met = scratch.written(banded.join(buckets.select("band", "hub", "size"), "band"), "met")
-    pairs = met.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        one = heads.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-        two = heads.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(likely), "a bigint, b bigint")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = scratch.written(
-            rows.join(ids, "id", "left_semi").mapInArrow(_sets(shingle_words, fold_case), "id bigint, shingles binary").dropDuplicates(["id"]), "sets"
-        )
-        one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-        two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked(similarity), "a bigint, b bigint")
-
-    links = scratch.written(confirmed(scratch.written(estimated(pairs), "likely")), "confirmed")
+    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub < far").select("band", "hub")
+    met = scratch.written(banded.join(hubs, "band").filter("id <> hub").select("hub", "id").distinct(), "met")
+
+    one = heads.select(F.col("id").alias("hub"), F.col("sketch").alias("sketch_a"))
+    likely = met.join(heads, "id").join(one, "hub").select("hub", "id", "sketch_a", "sketch").mapInArrow(_likely(least), "hub bigint, id bigint")
+    ids = met.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
+    sets = scratch.written(
+        rows.join(ids, "id", "left_semi").mapInArrow(_sets(shingle_words, fold_case), "id bigint, shingles binary").dropDuplicates(["id"]), "sets"
+    )
+    one = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("set_a"))
+    confirmed = likely.join(sets, "id").join(one, "hub").select("hub", "id", "set_a", "shingles").mapInArrow(_linked(similarity), "hub bigint, id bigint")
+    links = scratch.written(confirmed.select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
     found = components(links)
 
-    # buckets whose members are still in several components; two members were compared already
-    placed = met.filter("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("band")
-    rest = scratch.written(placed.join(mixed, "band", "left_semi"), "mixed")
+    # a family is a hub with all it met; only families in several components, none of them the hub's alone, are looked at again
+    family = met.unionAll(met.select("hub", F.col("hub").alias("id")).distinct())
+    placed = family.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("hub").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1 AND size > 2")
+    rest = scratch.written(placed.join(mixed.select("hub", "size"), "hub"), "mixed")
     if not rest.isEmpty():
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         dealt = (
             rest.withColumn("home", F.pmod(F.xxhash64("id"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .join(heads, "id")
-            .select("band", "id", "component", "home", "sketch", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
+            .join(sets, "id")
+            .select("hub", "id", "component", "home", "sketch", "shingles", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
         )
-        more = dealt.groupBy("band", "low", "high").applyInArrow(_across(likely), "a bigint, b bigint").distinct()
-        late = scratch.written(confirmed(scratch.written(more, "late")), "late-confirmed")
+        late = scratch.written(dealt.groupBy("hub", "low", "high").applyInArrow(_across(least, similarity), "a bigint, b bigint"), "late-links")
         if not late.isEmpty():
             found = components(links.unionAll(late))
 
