@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataform.llm import near_dedup
+from strataform.llm import near_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 20-word windows that start earlier."""
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents on 4-word shingles at similarity 0.8."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, similarity=(80, 100))
 
 
-QUERIES = {"op10_minhash": op10_minhash}
+QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op10_minhash": op10_minhash,
+}
 ORACLES: dict[str, str] = {}
