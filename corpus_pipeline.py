@@ -1,6 +1,75 @@
+"""A corpus from raw documents to packed token ids: five stages over whole tables.
+
+Each stage takes (spark, docs, folder of tables) and gives a table, which is
+written and read again before the next. All but the last give the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataform.llm import decontaminate, language_id, mixing, near_dedup, scratch, token_packing
+from strataform.llm.queries import rating_weight
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text whose letters fit no learnt profile better than this is in no learnt language.
+LEAST_LANGUAGE_SCORE = 0.05
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``ids``; those with a null id stay."""
+    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some learnt language: those without a letter, or like no profile, go."""
+    profiles = language_id.learn(docs.filter(~language_id.held_out("doc_id")))
+    found = language_id.predict(docs.select(F.struct(*COLUMNS).alias("doc"), "text"), profiles, id_col="doc")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group of near-duplicates on 5-word shingles at similarity 0.8."""
+    return _without(docs, near_dedup.near_duplicates(docs, shingle_words=5, similarity=(80, 100)).filter("NOT kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no 10-word window of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.contamination(docs, benchmark, window=10).filter("contaminated"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, each time as a row."""
+    rated = rating_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")).join(rated, "doc_id", "left")
+    copies = mixing.mix(sizes, size_col="size", weight_col="weight").filter("copies > 0").select("doc_id", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("time", times).select(*COLUMNS)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed sequences of 2,048 token ids."""
+    return token_packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token_output", tokenized),
+]
+
+#: The mix hashes and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+    return docs
