@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them."""
 
-_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 MIXING = f"""
@@ -43,12 +43,12 @@ t AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i +
 g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM t WHERE nth > 1 GROUP BY doc_id),
 k AS (
   SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, w, gone,
-         CASE WHEN gone IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(gone, i)) END AS kept
+         CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
   FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-_ITEM_WORDS = rf"list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_ITEM_WORDS = rf"list_filter(regexp_split_to_array({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
