@@ -4,6 +4,8 @@ A suffix is the word sequence from some word of a document on. Only nodes at
 least ``window`` words deep matter, so trees are cut at that depth, and only
 suffixes that can lie under such a node are dealt out:
 
+0. A text that is wholly the same as that of a smaller id starts earlier in every
+   window; it goes as a whole and takes no further part.
 1. Anchors. Of the 6-word sequences in a window, the one of least hash is its
    anchor, so equal windows have equal anchors. Anchors that occur once in the
    whole corpus end the matter for their windows; about one word in eight is an
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm import scratch
 from strataform.llm import words as W
 
 ANCHOR, PREFIX = 6, 5
@@ -58,15 +61,18 @@ def _window_anchors(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray, np
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, same = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             for first, offsets, data in W.texts(batch.column(1)):
                 w = W.words(offsets, data)
                 whole, at, grams = _window_anchors(w, window)
                 at = at[whole]
                 at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
                 row = w.row[at]
+                place = at - w.first[row]
+                where = W.mix(same[first + row] + place.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[at].view(np.int64)), pa.array(ids[first + row]), pa.array((at - w.first[row]).astype(np.int32))], ["anchor", "id", "at"]
+                    [pa.array(grams[at].view(np.int64)), pa.array(ids[first + row]), pa.array(place.astype(np.int32)), pa.array(where.view(np.int64))],
+                    ["anchor", "id", "at", "place"],
                 )
 
     return run
@@ -134,12 +140,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, starts = batch.column(1), batch.column(2)
+            text, starts, copy = batch.column(1), batch.column(2), batch.column(3)
             n_words, n_removed, digest, spans, kept_text = [], [], [], [], []
             for i in range(len(batch)):
                 own = (text[i].as_py() or "").encode().split()
                 n_words.append(len(own))
-                at = np.array(starts[i].as_py() or (), np.int64)
+                at = np.arange(max(0, len(own) - window + 1)) if copy[i].as_py() else np.array(starts[i].as_py() or (), np.int64)
                 cover = np.zeros(len(own) + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
@@ -182,16 +188,25 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # a plain column: an alias of the same name would make the two reads of the dealt text differ, and deal it out twice
+    text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text)
     named = rows.filter("id IS NOT NULL")
     dealt = named.repartition(parts, "id")  # one exchange of the text, read by both joins below
 
-    anchors = named.mapInArrow(_anchors(window), "anchor bigint, id bigint, at int")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    texts = named.select("id", F.md5("text").alias("print"))
+    heads = texts.filter("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("head"), F.max("id").alias("far")).filter("head < far")
+    copies = scratch.written(texts.join(heads, "print").filter("id > head").select("id").distinct(), "copies")
+
+    same = named.select("id", "text", F.xxhash64("text").alias("same"))
+    anchors = same.mapInArrow(_anchors(window), "anchor bigint, id bigint, at int, place bigint")
+    # copies of a text have its anchors at the same places, which makes no anchor a repeated one
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("place").alias("p0"), F.max("place").alias("p1")).filter("p0 <> p1").select("anchor", "n")
     marks = (
         anchors.join(often, "anchor")
         .groupBy("id")
         .agg(F.collect_list(F.struct("at", F.ceil(F.col("n") / group).cast("int").alias("shares"))).alias("marks"))
+        .join(copies, "id", "left_anti")
     )
     suffixes = (
         dealt.join(marks, "id")
@@ -207,5 +222,6 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     starts = repeats.groupBy("id").agg(F.collect_set("start").alias("starts"))
 
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed_spans array<array<bigint>>, kept_text string"
-    nameless = rows.filter("id IS NULL").select("id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    return dealt.join(starts, "id", "left").select("id", "text", "starts").unionAll(nameless).mapInArrow(_kept(window), result)
+    gone = starts.join(copies.withColumn("copy", F.lit(True)), "id", "full").select("id", "starts", "copy")
+    nameless = rows.filter("id IS NULL").select("id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copy"))
+    return dealt.join(gone, "id", "left").select("id", "text", "starts", "copy").unionAll(nameless).mapInArrow(_kept(window), result)
