@@ -1,4 +1,452 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries of the registration operators, with DuckDB SQL for the same rows. Floats are rounded to 6 places."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataform.functions import geometry as G
+from strataform.operators import lines as L
+from strataform.operators import matching as M
+from strataform.operators import pixels as P
+from strataform.operators import scoring as C
+from strataform.operators import solve as S
+from strataform.operators import voxels as V
+from strataform.plans import views
+
+VOXEL, SMALL, PIXEL, RADIUS, ANGLE, LENGTH = 4.0, 0.2, 2.0, 60.0, 3.0, 2.0
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Floats to 6 places, a hair up first so that means that end in a 5 fall alike, and without negative zeros."""
+    return df.select(*[(F.round(F.col(c) + F.lit(1e-9), 6) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def _r(*columns: str) -> str:
+    """SQL that rounds each `expression name`."""
+    return ", ".join(f"round({c.rsplit(' ', 1)[0]} + 1e-9, 6) + 0.0 AS {c.rsplit(' ', 1)[1]}" for c in columns)
+
+
+def _floors(size: float) -> str:
+    return ", ".join(f"floor({c} / {size}::DOUBLE)::BIGINT AS v{c}" for c in "xyz")
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",\n".join(views.SQL.get(c, c) for c in ctes) + "\n"
+
+
+def _binned(source: str, size: float) -> str:
+    return f"binned AS (SELECT *, {_floors(size)} FROM {source})"
+
+
+_STATS = """stats AS (SELECT cloud_id, vx, vy, vz, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz,
+  var_pop(x) AS sxx, var_pop(y) AS syy, var_pop(z) AS szz, covar_pop(x, y) AS sxy, covar_pop(x, z) AS sxz, covar_pop(y, z) AS syz
+  FROM binned GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+def _steps() -> list[str]:
+    steps, last = [], "stats"
+    for k, (name, step) in enumerate(G.eigenvalues("sxx", "syy", "szz", "sxy", "sxz", "syz").items()):
+        steps.append(f"e{k} AS (SELECT *, {step} AS {name} FROM {last})")
+        last = f"e{k}"
+    steps.append(f"flat AS (SELECT * FROM {last} WHERE 30 * l2 < l1 AND l0 < 6 * l1)")
+    return steps
+
+
+_LAST = "e6"
+# cosine of the angle between the least eigenvector and z, from its longest cross product
+_NORMAL = """crossed AS (SELECT *, unnest([
+    [(sxy * syz - sxz * (syy - l2)), (sxz * sxy - (sxx - l2) * syz), ((sxx - l2) * (syy - l2) - sxy * sxy)],
+    [(sxy * (szz - l2) - sxz * syz), (sxz * sxz - (sxx - l2) * (szz - l2)), ((sxx - l2) * syz - sxy * sxz)],
+    [((syy - l2) * (szz - l2) - syz * syz), (syz * sxz - sxy * (szz - l2)), (sxy * syz - (syy - l2) * sxz)]]) AS nv FROM flat),
+tilted AS (SELECT cloud_id, vx, vy, vz, degrees(acos(least(1.0, abs(arg_max(nv[3], nv[1]*nv[1] + nv[2]*nv[2] + nv[3]*nv[3])) / nullif(sqrt(max(nv[1]*nv[1] + nv[2]*nv[2] + nv[3]*nv[3])), 0)))) AS tilt
+  FROM crossed GROUP BY ALL)"""
+
+
+@query(_with("points", _binned("points", VOXEL)) + f"SELECT cloud_id, vx, vy, vz, count(*) AS n, {_r('avg(x) x', 'avg(y) y', 'avg(z) z')} FROM binned GROUP BY ALL")
+def voxel_downsample(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.downsample(views.points_only(spark, d), VOXEL))
+
+
+@query(_with("points_small", _binned("points_small", SMALL), _STATS) + f"SELECT cloud_id, vx, vy, vz, n, {_r('cx cx', 'cy cy', 'cz cz')} FROM stats")
+def voxel_hash_agg(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.statistics(views.points_small(spark, d), SMALL).select(*V.KEY, "n", "cx", "cy", "cz"))
+
+
+@query(_with("points", _binned("points", VOXEL), _STATS) + f"SELECT cloud_id, vx, vy, vz, n, {_r(*(f'{c} {c}' for c in ('sxx', 'syy', 'szz', 'sxy', 'sxz', 'syz')))} FROM stats")
+def voxel_covariance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.statistics(views.points_only(spark, d), VOXEL).drop("cx", "cy", "cz"))
+
+
+@query(_with("points", _binned("points", VOXEL), _STATS, *_steps()) + f"SELECT cloud_id, vx, vy, vz, {_r('l0 l0', 'l1 l1', 'l2 l2')} FROM {_LAST}")
+def voxel_pca_eigenvalues(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.principal(V.statistics(views.points_only(spark, d), VOXEL)).select(*V.KEY, "l0", "l1", "l2"))
+
+
+@query(_with("points", _binned("points", VOXEL), _STATS, *_steps()) + "SELECT cloud_id, vx, vy, vz, n FROM flat")
+def planar_voxels(spark: SparkSession, d: str) -> DataFrame:
+    return V.planar(V.principal(V.statistics(views.points_only(spark, d), VOXEL))).select(*V.KEY, "n")
+
+
+def _planar(spark: SparkSession, d: str) -> DataFrame:
+    return V.planar(V.principal(V.statistics(views.points_only(spark, d), 1.5)))
+
+
+_PLANAR = ("points", _binned("points", 1.5), _STATS, *_steps(), _NORMAL)
+
+
+@query(_with(*_PLANAR) + f"SELECT b.cloud_id, {_r('x x', 'y y', 'z z')} FROM binned b JOIN tilted t USING (cloud_id, vx, vy, vz) WHERE 90 - tilt < 30")
+def feasible_points(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.points_in(views.points_only(spark, d), V.perpendicular(_planar(spark, d)), 1.5))
+
+
+@query(_with(*_PLANAR) + "SELECT cloud_id, vx, vy, vz FROM tilted WHERE tilt < 30")
+def ground_voxels(spark: SparkSession, d: str) -> DataFrame:
+    return V.ground(_planar(spark, d)).select(*V.KEY)
+
+
+_BOX = "box AS (SELECT cloud_id, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM points GROUP BY cloud_id)"
+_IMAGE = f"image AS (SELECT cloud_id, min_x, min_y, ceil((max_x - min_x) / {PIXEL}::DOUBLE)::BIGINT AS width, ceil((max_y - min_y) / {PIXEL}::DOUBLE)::BIGINT AS height FROM box)"
+_PIXELS = f"""pixels AS (SELECT cloud_id, row, col, count(*) AS n, avg(x) AS x, avg(y) AS y FROM (
+  SELECT cloud_id, x, y, width, height, floor((x - min_x) / {PIXEL}::DOUBLE)::BIGINT AS col, floor((y - min_y) / {PIXEL}::DOUBLE)::BIGINT AS row FROM points JOIN image USING (cloud_id))
+  WHERE col < width AND row < height GROUP BY ALL)"""
+
+
+@query(_with("points", _BOX) + f"SELECT cloud_id, n, {_r('min_x min_x', 'max_x max_x', 'min_y min_y', 'max_y max_y')} FROM box")
+def cloud_bbox(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.bounding_box(views.points_only(spark, d)))
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return P.image(P.bounding_box(views.points_only(spark, d)), PIXEL)
+
+
+@query(_with("points", _BOX, _IMAGE) + f"SELECT cloud_id, {_r('min_x min_x', 'min_y min_y')}, width, height FROM image")
+def image_size(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_images(spark, d))
+
+
+def _pixels(spark: SparkSession, d: str, threshold: int = 1) -> DataFrame:
+    return P.pixelize(views.points_only(spark, d), _images(spark, d), PIXEL, threshold)
+
+
+@query(_with("points", _BOX, _IMAGE, _PIXELS) + f"SELECT cloud_id, row, col, n, {_r('x x', 'y y')} FROM pixels")
+def pixel_agg(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_pixels(spark, d).drop("value"))
+
+
+#: Half of the pixels or so hold that many points at sf0.01.
+FOREGROUND = 10
+_FORE = f"fore AS (SELECT cloud_id, row, col FROM pixels WHERE n >= {FOREGROUND})"
+
+
+@query(_with("points", _BOX, _IMAGE, _PIXELS) + f"SELECT cloud_id, row, col, n, n >= {FOREGROUND} AS value FROM pixels")
+def pixel_foreground(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d, FOREGROUND).select("cloud_id", "row", "col", "n", "value")
+
+
+def _fore(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d, FOREGROUND).filter("value").select("cloud_id", "row", "col")
+
+
+_MASKS = f"""masks AS (SELECT f.cloud_id, f.row, f.col, coalesce(sum(o.bit), 0)::BIGINT AS mask
+  FROM fore f LEFT JOIN (SELECT g.cloud_id, g.row - n.dr AS row, g.col - n.dc AS col, n.bit FROM fore g, (VALUES {", ".join(f"({r}, {c}, {1 << k})" for k, (r, c) in enumerate(P.NEIGHBOURS))}) n(dr, dc, bit)) o
+  ON o.cloud_id = f.cloud_id AND o.row = f.row AND o.col = f.col GROUP BY ALL)"""
+
+
+@query(_with("points", _BOX, _IMAGE, _PIXELS, _FORE, _MASKS) + "SELECT * FROM masks")
+def neighbor_mask(spark: SparkSession, d: str) -> DataFrame:
+    return P.neighbour_masks(_fore(spark, d))
+
+
+@query(
+    _with("points", _BOX, _IMAGE, _PIXELS, _FORE, _MASKS)
+    + f"SELECT cloud_id, row, col FROM masks JOIN image USING (cloud_id) WHERE NOT (row BETWEEN 1 AND height - 2 AND col BETWEEN 1 AND width - 2 AND [{', '.join(map(str, P.removable(True)))}][mask + 1])"
+)
+def thin_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    return P.thin_once(_fore(spark, d), _images(spark, d))
+
+
+@query()
+def thin_fixpoint(spark: SparkSession, d: str) -> DataFrame:
+    return P.thin(_fore(spark, d), _images(spark, d))
+
+
+_VOTES = f"""votes AS (SELECT cloud_id, theta, floor(round((x * cos(theta * {math.pi / 180!r}::DOUBLE) + y * sin(theta * {math.pi / 180!r}::DOUBLE)) / {PIXEL}::DOUBLE, 9))::BIGINT AS rho, sum(n)::BIGINT AS votes
+  FROM pixels, (SELECT unnest(range(180))::INT AS theta) GROUP BY ALL)"""
+
+
+@query(_with("points", _BOX, _IMAGE, _PIXELS, _VOTES) + "SELECT * FROM votes")
+def hough_votes(spark: SparkSession, d: str) -> DataFrame:
+    return L.votes(_pixels(spark, d), PIXEL)
+
+
+@query(
+    _with("points", _BOX, _IMAGE, _PIXELS, _VOTES)
+    + f""", peaks AS (SELECT * FROM votes v WHERE NOT EXISTS (SELECT 1 FROM votes w WHERE w.cloud_id = v.cloud_id AND w.theta BETWEEN v.theta - 1 AND v.theta + 1 AND w.rho BETWEEN v.rho - 1 AND v.rho + 1
+    AND (w.votes > v.votes OR w.votes = v.votes AND (w.theta < v.theta OR w.theta = v.theta AND w.rho < v.rho)))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY votes DESC, theta, rho) - 1 AS line_id FROM peaks)
+SELECT cloud_id, line_id, {_r(f'cos(theta * {math.pi / 180!r}::DOUBLE) a', f'sin(theta * {math.pi / 180!r}::DOUBLE) b', f'(-(rho + 0.5::DOUBLE) * {PIXEL}::DOUBLE) c')}, votes FROM ranked WHERE line_id < 20"""
+)
+def hough_topk_lines(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.top_lines(L.votes(_pixels(spark, d), PIXEL), PIXEL))
+
+
+_CROSS = """crossings AS (SELECT p.cloud_id, p.line_id AS line0, q.line_id AS line1,
+  (p.b * q.c - q.b * p.c) / (p.a * q.b - q.a * p.b) AS x, (q.a * p.c - p.a * q.c) / (p.a * q.b - q.a * p.b) AS y,
+  degrees(acos(least(1.0, abs((p.a * q.a + p.b * q.b) / sqrt((p.a * p.a + p.b * p.b) * (q.a * q.a + q.b * q.b)))))) AS angle
+  FROM lines p JOIN lines q ON p.cloud_id = q.cloud_id AND p.line_id < q.line_id WHERE abs(p.a * q.b - q.a * p.b) >= 1e-12)"""
+_NODES = f"""nodes AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY line0, line1) - 1 AS id, abs(angle - 90) <= {ANGLE} AS is_right
+  FROM crossings WHERE sqrt(x * x + y * y) <= {RADIUS} AND angle >= 3.0)"""
+
+
+@query(_with("lines", _CROSS) + f"SELECT cloud_id, line0, line1, {_r('x x', 'y y')} FROM crossings")
+def line_intersections(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.intersections(views.lines(spark, d)).drop("angle"))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return L.nodes(views.lines(spark, d), RADIUS, 3.0, ANGLE)
+
+
+@query(_with("lines", _CROSS, _NODES) + f"SELECT cloud_id, id, line0, line1, {_r('angle angle')}, is_right FROM nodes")
+def acute_angles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_nodes(spark, d).select("cloud_id", "id", "line0", "line1", "angle", "is_right"))
+
+
+_EDGES = """incident AS (SELECT cloud_id, id, x, y, line0 AS line_id FROM nodes UNION ALL SELECT cloud_id, id, x, y, line1 FROM nodes),
+along AS (SELECT i.*, l.b * i.x - l.a * i.y AS t FROM incident i JOIN lines l USING (cloud_id, line_id)),
+edges AS (SELECT cloud_id, line_id, id AS u, lead(id) OVER w AS v, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS length FROM along WINDOW w AS (PARTITION BY cloud_id, line_id ORDER BY t, id))"""
+
+
+@query(_with("lines", _CROSS, _NODES, _EDGES) + f"SELECT cloud_id, line_id, u, v, {_r('length length')} FROM edges WHERE v IS NOT NULL")
+def line_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(L.edges(_nodes(spark, d), views.lines(spark, d)))
+
+
+def _slots(spark: SparkSession, d: str) -> DataFrame:
+    nodes, lines = _nodes(spark, d), views.lines(spark, d)
+    return L.slots(nodes, lines, L.edges(nodes, lines))
+
+
+@query()
+def node_slots(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_slots(spark, d))
+
+
+def _side(spark: SparkSession, d: str, side: str) -> DataFrame:
+    return _nodes(spark, d).filter(F.col("cloud_id") == side).withColumn("pair_id", F.lit("p"))
+
+
+_SEEDS = f"""seeds AS (SELECT 'p' AS pair_id, s.id AS src, t.id AS tgt, exp(-pow(abs(s.angle - t.angle), 2) / {2 * ANGLE * ANGLE}) AS score, s.x AS sx, s.y AS sy, t.x AS tx, t.y AS ty, s.is_right AND t.is_right AS both_right
+  FROM nodes s, nodes t WHERE s.cloud_id = 'src' AND t.cloud_id = 'tgt' AND abs(s.angle - t.angle) <= {ANGLE})"""
+_RANKED = """ranked AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, src, tgt) AS rank FROM seeds)
+  WHERE rank <= greatest(1, ceil(0.2::DOUBLE * (SELECT count(*) FROM nodes WHERE cloud_id = 'src') * (SELECT count(*) FROM nodes WHERE cloud_id = 'tgt'))))"""
+_GRAPH = ("lines", _CROSS, _NODES, _SEEDS)
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return M.seeds(_side(spark, d, "src"), _side(spark, d, "tgt"), ANGLE)
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    return M.best_seeds(_seeds(spark, d), _side(spark, d, "src"), _side(spark, d, "tgt"))
+
+
+@query(_with(*_GRAPH) + f"SELECT pair_id, src, tgt, {_r('score score')} FROM seeds")
+def seed_band_join(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_seeds(spark, d))
+
+
+@query(_with(*_GRAPH, _RANKED) + f"SELECT r.pair_id, r.src, r.tgt, r.rank, o.shift, {_r('score score')} FROM ranked r, (VALUES (0), (1), (2), (3)) o(shift) WHERE r.both_right OR o.shift IN (0, 2)")
+def seed_topk(spark: SparkSession, d: str) -> DataFrame:
+    right = lambda side, name: _side(spark, d, side).select("pair_id", F.col("id").alias(name), F.col("is_right").alias(f"{name}_right"))
+    best = _ranked(spark, d).join(right("src", "src"), ["pair_id", "src"]).join(right("tgt", "tgt"), ["pair_id", "tgt"])
+    turns = F.when(F.col("src_right") & F.col("tgt_right"), F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(0), F.lit(2)))
+    return rounded(best.select("pair_id", "src", "tgt", "rank", F.explode(turns).alias("shift"), "score"))
+
+
+@query(_with("lines", _CROSS, _NODES) + f"SELECT p.cloud_id, p.id AS i, q.id AS j, {_r('sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) distance')} FROM nodes p JOIN nodes q ON p.cloud_id = q.cloud_id AND p.id <> q.id")
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.distances(_nodes(spark, d)))
+
+
+def _matches(spark: SparkSession, d: str, most: int) -> DataFrame:
+    at = lambda side, k, c: _side(spark, d, side).select("pair_id", F.col("id").alias(k), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    best = _ranked(spark, d).filter(F.col("rank") <= most)
+    return best.join(at("src", "src", "s"), ["pair_id", "src"]).join(at("tgt", "tgt", "t"), ["pair_id", "tgt"]).withColumn("k", F.col("rank"))
+
+
+_SIMILAR = f"""similar_pairs AS (SELECT p.pair_id, p.rank AS i, q.rank AS j, abs(sqrt(pow(p.sx - q.sx, 2) + pow(p.sy - q.sy, 2)) - sqrt(pow(p.tx - q.tx, 2) + pow(p.ty - q.ty, 2))) AS d
+  FROM ranked p JOIN ranked q ON p.rank < q.rank AND q.rank <= {{most}}),
+weights AS (SELECT pair_id, i, j, CASE WHEN d <= {LENGTH} THEN exp(-d * d / {2 * LENGTH * LENGTH}) ELSE -1.0::DOUBLE END AS weight FROM similar_pairs)"""
+
+
+@query(_with(*_GRAPH, _RANKED, _SIMILAR.format(most=200)) + f"SELECT pair_id, i, j, {_r('weight weight')} FROM weights")
+def distance_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.similarity(_matches(spark, d, 200), LENGTH))
+
+
+@query(_with(*_GRAPH, _RANKED, _SIMILAR.format(most=200)) + f"SELECT pair_id, i % 5 AS part, count(*) AS links, {_r('sum(weight) weight')} FROM weights WHERE i % 5 = j % 5 AND weight > 0 GROUP BY ALL")
+def clique_weight(spark: SparkSession, d: str) -> DataFrame:
+    similar = M.similarity(_matches(spark, d, 200), LENGTH).filter("weight > 0 AND i % 5 = j % 5")
+    return rounded(similar.groupBy("pair_id", (F.col("i") % 5).alias("part")).agg(F.count("*").alias("links"), F.sum("weight").alias("weight")))
+
+
+@query(
+    "WITH RECURSIVE "
+    + _with(*_GRAPH, _RANKED, _SIMILAR.format(most=24))[5:]
+    + f""", links AS (SELECT * FROM weights WHERE weight > 0),
+grown AS (SELECT pair_id, [i] AS members, 0.0::DOUBLE AS weight FROM (SELECT pair_id, i FROM links UNION SELECT pair_id, j FROM links)
+  UNION ALL
+  SELECT g.pair_id, list_append(g.members, n.j), g.weight + n.w FROM grown g JOIN LATERAL (
+    SELECT l.j, sum(l.weight) AS w, count(*) AS c FROM links l WHERE list_contains(g.members, l.i) AND l.j > g.members[-1] GROUP BY l.j) n ON n.c = len(g.members))
+SELECT pair_id, {_r('max(weight) weight')}, false AS truncated FROM grown GROUP BY pair_id"""
+)
+def max_weight_clique(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.cliques(M.similarity(_matches(spark, d, 24), LENGTH)).drop("members"))
+
+
+@query()
+def congruent_subgraphs(spark: SparkSession, d: str) -> DataFrame:
+    own = _slots(spark, d).groupBy("cloud_id", "id").agg(F.sort_array(F.collect_list(F.struct("slot", "neighbour"))).alias("s"))
+    graphs = _nodes(spark, d).join(own, ["cloud_id", "id"]).select(F.lit("p").alias("pair_id"), F.col("cloud_id").alias("side"), "id", "x", "y", "angle", "is_right", F.col("s.neighbour").alias("slots"))
+    found = M.match(graphs, _ranked(spark, d), LENGTH, ANGLE)
+    return rounded(found.select("pair_id", "candidate", "weight", "truncated", F.size("matches").alias("size"), F.explode("matches").alias("m")).select("pair_id", "candidate", "weight", "truncated", "size", "m.src", "m.tgt"))
+
+
+_FIT = """sums AS (SELECT count(*) AS n, avg(sx) AS a, avg(sy) AS b, avg(tx) AS c, avg(ty) AS d, avg(sx * tx) AS ac, avg(sx * ty) AS ad, avg(sy * tx) AS bc, avg(sy * ty) AS bd FROM ranked WHERE rank <= 200),
+turn AS (SELECT *, atan2((ad - a * d) - (bc - b * c), (ac - a * c) + (bd - b * d)) AS yaw FROM sums),
+fit AS (SELECT n, yaw, c - (cos(yaw) * a - sin(yaw) * b) AS dx, d - (sin(yaw) * a + cos(yaw) * b) AS dy FROM turn)"""
+
+
+@query(_with(*_GRAPH, _RANKED, _FIT) + f"SELECT 'p' AS pair_id, n, {_r('yaw yaw', 'dx dx', 'dy dy')} FROM fit")
+def rigid2d_fit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(S.rigid2d(_matches(spark, d, 200), "pair_id"))
+
+
+@query(
+    _with(*_GRAPH, _RANKED, _FIT)
+    + f"""SELECT 'p' AS pair_id, count(*) AS inliers FROM (SELECT cos(yaw) * x - sin(yaw) * y + dx AS x, sin(yaw) * x + cos(yaw) * y + dy AS y FROM nodes, fit WHERE cloud_id = 'src') s
+WHERE EXISTS (SELECT 1 FROM nodes t WHERE t.cloud_id = 'tgt' AND pow(s.x - t.x, 2) + pow(s.y - t.y, 2) <= {LENGTH * LENGTH})"""
+)
+def inlier_count(spark: SparkSession, d: str) -> DataFrame:
+    fit = S.rigid2d(_matches(spark, d, 200), "pair_id").drop("n")
+    source = S.moved2d(_side(spark, d, "src").select("pair_id", "x", "y").join(fit, "pair_id")).select("pair_id", "x", "y")
+    return S.inliers(source, _side(spark, d, "tgt").select("pair_id", "x", "y"), LENGTH, ("pair_id",), ("pair_id",))
+
+
+_NEAR = f"""centres AS (SELECT cloud_id, vx, vy, vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM binned GROUP BY ALL),
+joined AS (SELECT s.cloud_id AS pair_id, s.vx, s.vy, s.vz, t.vx AS t_vx, t.vy AS t_vy, t.vz AS t_vz, sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2) + pow(s.z - t.z, 2)) AS distance, s.z, t.z AS tz
+  FROM centres s JOIN centres t ON t.cloud_id = 'e0' AND s.cloud_id <> 'e0'),
+near AS (SELECT * FROM joined WHERE distance <= {SMALL} QUALIFY row_number() OVER (PARTITION BY pair_id, vx, vy, vz ORDER BY round(distance, 9), t_vx, t_vy, t_vz) = 1)"""
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    centres = V.downsample(views.points_small(spark, d), SMALL).drop("n")
+    source = centres.filter("cloud_id <> 'e0'").withColumnRenamed("cloud_id", "pair_id").withColumn("target", F.lit("e0"))
+    target = centres.filter("cloud_id = 'e0'").withColumnRenamed("cloud_id", "target")
+    return S.nearest(source, target, SMALL, ("target",), ("pair_id", "vx", "vy", "vz"), ("vx", "vy", "vz"))
+
+
+@query(_with("points_small", _binned("points_small", SMALL), _NEAR) + f"SELECT pair_id, vx, vy, vz, t_vx, t_vy, t_vz, {_r('distance distance')} FROM near")
+def nn_voxel_join(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_nearest(spark, d).drop("target", "z", "tz"))
+
+
+@query(
+    _with("points_small", _binned("points_small", SMALL), _NEAR)
+    + f""", bins AS (SELECT pair_id, floor(round((tz - z) / {SMALL / 4}::DOUBLE, 9))::BIGINT AS bin, tz - z AS dz FROM near),
+wide AS (SELECT pair_id, bin + s AS at_bin, count(*) AS support, sum(dz) AS total FROM bins, (VALUES (-1), (0), (1)) v(s) GROUP BY ALL)
+SELECT pair_id, support, {_r('(total / support) dz')} FROM wide QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY support DESC, at_bin) = 1"""
+)
+def z_offset(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(S.z_offset(_nearest(spark, d), SMALL / 4, "pair_id"))
+
+
+def _poses(spark: SparkSession, d: str) -> DataFrame:
+    zero = F.lit(0.0)
+    return views.transforms(spark, d).withColumns({"truth": G.yaw_matrix(F.col("yaw_gt"), zero, zero, zero), "estimate": G.yaw_matrix(F.col("yaw_est"), F.col("terr"), zero, -F.col("terr"))})
+
+
+_ENTRIES = {"m00": "cos(yaw_est)", "m01": "-sin(yaw_est)", "m03": "terr", "m10": "sin(yaw_est)", "m11": "cos(yaw_est)", "m13": "0.0::DOUBLE", "m22": "1.0::DOUBLE", "m23": "-terr", "m33": "1.0::DOUBLE"}
+
+
+@query(_with("transforms") + f"SELECT pair_idx, {_r(*(f'({e}) {n}' for n, e in _ENTRIES.items()))} FROM transforms")
+def compose_transform(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_poses(spark, d).select("pair_idx", *[F.col("estimate")[int(n[1]) * 4 + int(n[2])].alias(n) for n in _ENTRIES]))
+
+
+_ERRORS = """errors AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, (2 * (cos(yaw_gt) * cos(yaw_est) + sin(yaw_gt) * sin(yaw_est)) + 1 - 1) / 2)))) AS rotation_error, sqrt(2 * terr * terr) AS translation_error FROM transforms)"""
+
+
+# acos magnifies rounding near 0 degrees: four places
+@query(_with("transforms", _ERRORS) + "SELECT pair_idx, round(rotation_error, 4) + 0.0 AS rotation_error FROM errors")
+def rotation_error(spark: SparkSession, d: str) -> DataFrame:
+    return _poses(spark, d).select("pair_idx", (F.round(G.rotation_error(F.col("truth"), F.col("estimate")), 4) + F.lit(0.0)).alias("rotation_error"))
+
+
+@query(_with("transforms", _ERRORS) + f"SELECT pair_idx, {_r('translation_error translation_error')} FROM errors")
+def translation_error(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_poses(spark, d).select("pair_idx", G.translation_error(F.col("truth"), F.col("estimate")).alias("translation_error")))
+
+
+@query(
+    _with("points_small", "transforms")
+    + f""", e AS (SELECT t.pair_idx, sqrt(pow((cos(yaw_gt) - cos(yaw_est)) * x - (sin(yaw_gt) - sin(yaw_est)) * y - terr, 2) + pow((sin(yaw_gt) - sin(yaw_est)) * x + (cos(yaw_gt) - cos(yaw_est)) * y, 2) + terr * terr) AS error
+  FROM transforms t JOIN points_small p ON p.cloud_id = concat('e', (t.pair_idx % 10)::VARCHAR))
+SELECT pair_idx, count(*) AS n, {_r('sqrt(avg(error * error)) rmse', 'median(error) median_error')} FROM e GROUP BY pair_idx"""
+)
+def rmse_median_error(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _poses(spark, d).select("pair_idx", F.concat(F.lit("e"), (F.col("pair_idx") % 10).cast("string")).alias("cloud_id"), "truth", "estimate")
+    return rounded(C.residuals(views.points_small(spark, d), pairs, "cloud_id"))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    errors = _poses(spark, d).select("pair_idx", "source", "target", G.rotation_error(F.col("truth"), F.col("estimate")).alias("rotation_error"), G.translation_error(F.col("truth"), F.col("estimate")).alias("translation_error"))
+    good = C.success(F.round("rotation_error", 4), F.round("translation_error", 4), 5.0, 2.0)
+    return errors.join(views.runtimes(spark, d), "pair_idx", "left").withColumn("success", good)
+
+
+_RESULTS = "results AS (SELECT pair_idx, source, target, rotation_error, translation_error, time_s, round(rotation_error, 4) <= 5 AND round(translation_error, 4) <= 2 AS success FROM errors LEFT JOIN runtimes USING (pair_idx))"
+
+
+@query(_with("transforms", "runtimes", _ERRORS, _RESULTS) + f"SELECT pair_idx, source, target, success, {_r('time_s time_s')} FROM results")
+def runtime_left_join(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_results(spark, d).select("pair_idx", "source", "target", "success", "time_s"))
+
+
+@query(
+    _with("transforms", "runtimes", _ERRORS, _RESULTS)
+    + f"""SELECT count(*) AS pairs, count(*) FILTER (success) AS successes, {_r('avg(success::INT) success_rate')},
+  round(avg(rotation_error) FILTER (success), 4) AS mean_rotation_error, {_r('(avg(translation_error) FILTER (success)) mean_translation_error', 'avg(time_s) mean_time_s', '(avg(time_s) FILTER (success)) mean_time_s_success')} FROM results"""
+)
+def registration_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.summary(_results(spark, d)).withColumn("mean_rotation_error", F.round("mean_rotation_error", 4)))
+
+
+@query(
+    _with("lines", _CROSS, _NODES)
+    + """, near AS (SELECT cloud_id, id, list_sort(list(DISTINCT l)) AS own FROM (SELECT cloud_id, id, unnest([line0, line1]) AS l FROM nodes) GROUP BY ALL),
+paired AS (SELECT p.cloud_id, p.id AS i, q.id AS j, p.own AS a, q.own AS b FROM near p JOIN near q ON p.cloud_id = q.cloud_id AND p.id < q.id)
+SELECT cloud_id, i, j, len(list_intersect(a, b)) AS n_both, len(list_distinct(list_concat(a, b))) AS n_either, len(a) - len(list_intersect(a, b)) AS n_first FROM paired"""
+)
+def set_algebra(spark: SparkSession, d: str) -> DataFrame:
+    own = _nodes(spark, d).select("cloud_id", "id", F.array("line0", "line1").alias("own"))
+    one, two = own.select("cloud_id", F.col("id").alias("i"), F.col("own").alias("a")), own.select("cloud_id", F.col("id").alias("j"), F.col("own").alias("b"))
+    size = lambda c, n: F.size(c).cast("bigint").alias(n)
+    return one.join(two, "cloud_id").filter("i < j").select("cloud_id", "i", "j", size(F.array_intersect("a", "b"), "n_both"), size(F.array_union("a", "b"), "n_either"), size(F.array_except("a", "b"), "n_first"))

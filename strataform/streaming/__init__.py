@@ -1,0 +1 @@
+"""Scans and pairs are bounded tables; nothing here is a stream."""
