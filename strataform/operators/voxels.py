@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions import geometry as G
@@ -42,20 +42,20 @@ def principal(voxels: DataFrame) -> DataFrame:
     The normal is the longest cross product of two rows of the covariance less
     its least eigenvalue; null where all points coincide or lie on a line.
     """
-    for name, step in G.eigenvalues("sxx", "syy", "szz", "sxy", "sxz", "syz").items():
-        voxels = voxels.withColumn(name, F.expr(step))
-    a, b, c = F.col("sxx") - F.col("l2"), F.col("syy") - F.col("l2"), F.col("szz") - F.col("l2")
-    d, e, f = F.col("sxy"), F.col("sxz"), F.col("syz")
-    rows = ((a, d, e), (d, b, f), (e, f, c))
-
-    def cross(u: tuple[Column, ...], v: tuple[Column, ...]) -> Column:
-        x, y, z = u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
-        return F.struct((x * x + y * y + z * z).alias("size"), x.alias("x"), y.alias("y"), z.alias("z"))
-
-    best = F.array_max(F.array(cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])))
-    sign = F.when(F.col("best.z") < 0, -1.0).otherwise(1.0)
-    unit = F.nullif(F.sqrt("best.size"), F.lit(0.0))
-    return voxels.withColumn("best", best).withColumns({f"n{k}": sign * F.col(f"best.{k}") / unit for k in "xyz"}).drop("best", "q", "p", "det", "phi")
+    rows = (("sxx - l2", "sxy", "sxz"), ("sxy", "syy - l2", "syz"), ("sxz", "syz", "szz - l2"))
+
+    def cross(u: tuple[str, ...], v: tuple[str, ...]) -> str:
+        x, y, z = (f"(({u[i]}) * ({v[j]}) - ({u[j]}) * ({v[i]}))" for i, j in ((1, 2), (2, 0), (0, 1)))
+        return f"named_struct('size', {x} * {x} + {y} * {y} + {z} * {z}, 'x', {x}, 'y', {y}, 'z', {z})"
+
+    best = f"array_max(array({cross(rows[0], rows[1])}, {cross(rows[0], rows[2])}, {cross(rows[1], rows[2])}))"
+    unit = "CASE WHEN best.z < 0 THEN -1 ELSE 1 END / nullif(sqrt(best.size), 0)"
+    whole = "named_struct('l0', l0, 'l1', l1, 'l2', l2, " + ", ".join(f"'n{c}', best.{c} * unit" for c in "xyz") + ")"
+    # each step is bound once by a lambda: as columns they would be copied into every filter that is pushed below them
+    steps = [*G.eigenvalues("sxx", "syy", "szz", "sxy", "sxz", "syz").items(), ("best", best), ("unit", unit)]
+    for name, step in reversed(steps):
+        whole = f"transform(array({step}), {name} -> {whole})[0]"
+    return voxels.withColumn("axes", F.expr(whole)).select("*", "axes.*").drop("axes")
 
 
 def planar(voxels: DataFrame) -> DataFrame:
