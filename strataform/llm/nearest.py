@@ -46,33 +46,36 @@ class Index:
         self.rotation = np.linalg.qr(random.standard_normal((self.dim, self.dim)))[0].astype(np.float32)
         self.ids, self.vectors = ids, vectors
         turned = vectors @ self.rotation
-        lists = max(1, min(1024, int(math.sqrt(rows) / 2), len(ids) // 16))
-        centroids = turned[random.permutation(len(turned))[:lists]].copy()
+        lists = max(1, min(1024, int(math.sqrt(rows) / 2), len(ids) // 32))
+        order = random.permutation(len(turned))
+        # fitted on one half, calibrated on the other: fitted vectors lie nearer to their centroids than others do
+        fitted, other = turned[order[: (len(order) + 1) // 2]], turned[order[(len(order) + 1) // 2 :]]
+        centroids = fitted[:lists].copy()
         for _ in range(10):
-            own = self._squares(turned, centroids).argmin(axis=1)
+            own = self._squares(fitted, centroids).argmin(axis=1)
             n = np.bincount(own, minlength=lists)
             for c in range(self.dim):
-                centroids[:, c] = np.where(n > 0, np.bincount(own, weights=turned[:, c], minlength=lists) / np.maximum(n, 1), centroids[:, c])
+                centroids[:, c] = np.where(n > 0, np.bincount(own, weights=fitted[:, c], minlength=lists) / np.maximum(n, 1), centroids[:, c])
         self.centroids = centroids
-        self.probes = self._calibrate(turned, k, random)
+        self.probes = self._calibrate(other, k)
 
     @staticmethod
     def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T))
 
-    def _calibrate(self, turned: np.ndarray, k: int, random: np.random.Generator) -> int:
-        """Least number of lists in which sample queries find RECALL of their true neighbours in the sample."""
-        some = random.permutation(len(turned))[:256]
-        far = self._squares(turned[some], turned)
-        far[np.arange(len(some)), some] = np.inf
-        true = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(turned) - 1)]
-        if not true.size:
+    def _calibrate(self, other: np.ndarray, k: int) -> int:
+        """Least number of lists in which vectors find RECALL of their nearest others; equal vectors, always in one list, do not count."""
+        some = other[:512]
+        far = self._squares(some, other)
+        far[far < 1e-9] = np.inf
+        true = np.argsort(far, axis=1, kind="stable")[:, :k]
+        counts = np.isfinite(np.take_along_axis(far, true, axis=1))
+        if not counts.any():
             return len(self.centroids)
-        own = self._squares(turned, self.centroids).argmin(axis=1)
-        order = np.argsort(self._squares(turned[some], self.centroids), axis=1, kind="stable")
-        rank = np.argsort(order, axis=1)
-        needed = np.sort(np.take_along_axis(rank, own[true], axis=1).ravel()) + 1
-        return int(needed[min(len(needed) - 1, math.ceil(RECALL * len(needed)) - 1)])
+        own = self._squares(other, self.centroids).argmin(axis=1)
+        rank = np.argsort(np.argsort(self._squares(some, self.centroids), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.take_along_axis(rank, own[true], axis=1)[counts]) + 1
+        return int(needed[math.ceil(RECALL * len(needed)) - 1])
 
     def lists_of(self, vectors: np.ndarray, n: int) -> np.ndarray:
         far = self._squares(vectors @ self.rotation, self.centroids)
