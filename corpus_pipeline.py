@@ -20,7 +20,8 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is not among ``ids``; those with a null id stay."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = scratch.counted(ids.select("doc_id").distinct(), "gone")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ def near_duplicates(
 
     one = heads.select(F.col("id").alias("hub"), F.col("sketch").alias("sketch_a"))
     likely = met.join(heads, "id").join(one, "hub").select("hub", "id", "sketch_a", "sketch").mapInArrow(_likely(least), "hub bigint, id bigint")
-    ids = met.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
+    ids = scratch.counted(met.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), "compared")
     sets = scratch.written(
         rows.join(ids, "id", "left_semi").mapInArrow(_sets(shingle_words, fold_case), "id bigint, shingles binary").dropDuplicates(["id"]), "sets"
     )
