@@ -96,7 +96,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     for lang, n in rows.groupBy("lang").count().collect():
         if n > sample:
             limit = F.lit(int(sample / n * (1 << 30)))
-            share = (share or F).when(F.col("lang") == lang, limit)
+            known = F.col("lang") == lang
+            share = F.when(known, limit) if share is None else share.when(known, limit)
     if share is not None:
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share.otherwise(F.lit(1 << 30)))
     counts = rows.select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -163,8 +163,10 @@ def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.predict(docs, language_id.learn(docs.filter(~language_id.held_out()))).join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out())
     assert found.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    few = language_id.learn(docs, sample=60)
+    assert sorted(few) == ["de", "en", "es", "fr"] and few != language_id.learn(docs)
     odd = spark.createDataFrame([(1, None), (2, "123 %%%"), (3, "")], "doc_id bigint, text string")
-    assert {(r.lang_pred, r.score) for r in language_id.predict(odd, language_id.learn(docs)).collect()} == {("und", 0.0)}
+    assert {(r.lang_pred, r.score) for r in language_id.predict(odd, few).collect()} == {("und", 0.0)}
 
 
 def test_mix_meets_targets(docs):
