@@ -305,8 +305,10 @@ def near_duplicates(
         rows.mapInArrow(_sketches(shingle_words, fold_case), "id bigint, n_shingles bigint, print1 bigint, print2 bigint, sketch binary"), "sketches"
     )
     full = base.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("print1", "print2", "n_shingles").agg(F.min("id").alias("head"))
-    named = scratch.written(full.select("id", "print1", "print2", "n_shingles").join(classes, ["print1", "print2", "n_shingles"]).select("id", "head"), "classes")
+    same = ["print1", "print2", "n_shingles"]
+    # written first: joined straight from its aggregate, a class of very many copies could not be split over tasks
+    classes = scratch.written(full.groupBy(*same).agg(F.min("id").alias("head"), F.max("id").alias("far")).filter("head < far").select(*same, "head"), "classes")
+    named = scratch.written(full.select("id", *same).join(classes, same, "left").select("id", F.coalesce("head", "id").alias("head")), "heads-of")
     heads = scratch.written(
         base.join(named.filter("id = head").select("id").distinct(), "id", "left_semi").select("id", "sketch").dropDuplicates(["id"]), "heads"
     )
