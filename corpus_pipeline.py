@@ -14,8 +14,10 @@ from strataform.llm import decontaminate, language_id, mixing, near_dedup, scrat
 from strataform.llm.queries import rating_weight
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose letters fit no learnt profile better than this is in no learnt language.
-LEAST_LANGUAGE_SCORE = 0.05
+#: A text whose letters fit no learnt profile better than this is in no learnt language. Measured on labelled
+#: documents: in a learnt language all of 256,410 score above 0.36; with en, es or fr left out of learning, three
+#: in four of its documents score below 0.27. Random Latin letters mostly stay below 0.3, other scripts score 0.
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
