@@ -4,8 +4,10 @@ Vectors are rotated by a random orthogonal matrix, so that any block of columns
 a fair sample of a distance. Centroids, fitted on a bounded sample, deal all rows
 into lists. A query probes its nearest lists and scans them in column blocks:
 after each block a hypothesis test drops candidates whose partial distance shows
-that they lie beyond the query's bound, which is its k-th distance in the sample.
-What is left gets its exact distance on the original vectors.
+that they lie beyond the query's bound, which is its k-th distance among the sample's
+rows in those lists. What is left gets its exact distance on the original vectors.
+Result rows come from the lists alone, the sample gives none. A query whose probed
+lists gave fewer than k rows is searched again in all lists, without a bound.
 
 Lists are dealt out in shares, so a list that holds a third of all rows is many
 tasks; queries are dealt out in groups likewise. Only the sample, the rotation and
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from strataform.llm import scratch
 
-#: Bounds of the fitted sample: rows, and numbers in all.
-SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 4_000_000
+#: Bounds of the fitted sample: rows, numbers in all, and its share of a small table, so that no table is its own sample.
+SAMPLE_ROWS, SAMPLE_VALUES, SAMPLE_SHARE = 20_000, 4_000_000, 4
 SHARE, QUERIES = 16_384, 4_096
 COLUMNS = 16
 #: Width of the hypothesis test: larger drops fewer.
@@ -86,6 +88,11 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a.astype(np.float64) - b.astype(np.float64)) ** 2).sum(axis=-1))
 
 
+def _exact_pairs(rows: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray) -> np.ndarray:
+    step = max(1, SAMPLE_VALUES // rows.shape[1])
+    return np.concatenate([np.zeros(0), *(_exact(rows[x[at : at + step]], queries[q[at : at + step]]) for at in range(0, len(q), step))])
+
+
 def _assign(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,27 +104,26 @@ def _assign(index: Index):
 
 
 def _prepare(index: Index, k: int):
-    """For each query: its k nearest in the sample, their greatest distance, and the lists to probe."""
+    """For each query: the lists to probe, and the k-th least distance to the sample's rows in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = index.lists_of(index.vectors, 1)[:, 0]
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 own, ids = _matrix(part.column(1), index.dim), part.column(0).to_numpy()
+                lists = index.lists_of(own, index.probes).astype(np.int32)
+                probed = np.zeros((len(part), len(index.centroids)), bool)
+                np.put_along_axis(probed, lists, True, axis=1)
                 far = index._squares(own, index.vectors)
-                far[ids[:, None] == index.ids[None]] = np.inf
-                bounds, tops = [], []
+                far[(ids[:, None] == index.ids[None]) | ~probed[:, places]] = np.inf
+                bounds = []
                 for i in range(len(part)):
                     near = np.argpartition(far[i], min(4 * k, len(index.ids) - 1))[: 4 * k]
-                    near = near[index.ids[near] != ids[i]]
-                    score = _exact(index.vectors[near], own[i])
-                    order = np.lexsort((index.ids[near], score))[:k]
-                    bounds.append(float(score[order[-1]]) if len(order) == k else float("inf"))
-                    tops.append([{"id": int(index.ids[near[j]]), "score": float(score[j])} for j in order])
-                lists = index.lists_of(own, index.probes).astype(np.int32)
+                    score = np.sort(_exact(index.vectors[near[np.isfinite(far[i][near])]], own[i]))
+                    bounds.append(float(score[k - 1]) if len(score) >= k else float("inf"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(bounds, pa.float64()), pa.array(lists.tolist(), pa.list_(pa.int32())), pa.array(tops, pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())])))],
-                    ["query_id", "vector", "bound", "lists", "top"],
+                    [part.column(0), part.column(1), pa.array(bounds, pa.float64()), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query_id", "vector", "bound", "lists"]
                 )
 
     return run
@@ -157,7 +163,7 @@ def _search(index: Index, k: int):
                 q, x = scan(turned, asked @ index.rotation, part["bound"].to_numpy())
                 other = ids[x] != names[q]
                 q, x = q[other], x[other]
-                score = _exact(own[x], asked[q])
+                score = _exact_pairs(own, x, asked, q)
                 order = np.lexsort((ids[x], score, q))
                 q, x, score = q[order], x[order], score[order]
                 top = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -192,7 +198,7 @@ def search(
         return spark.createDataFrame([], result)
     dim, n = lengths[0]
     rows = rows.filter(F.size("vector") == dim)
-    wanted = min(sample_rows, SAMPLE_VALUES // dim)
+    wanted = max(1, min(sample_rows, SAMPLE_VALUES // dim, n // SAMPLE_SHARE))
     chosen = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(min(1.0, wanted / n) * (1 << 30))
     drawn = rows.filter(chosen).dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(2 * wanted).toArrow()
     if not len(drawn):
@@ -202,24 +208,31 @@ def search(
     listed = scratch.written(rows.mapInArrow(_assign(index), "list int, id bigint, vector array<float>"), "listed")
     sizes = {r[0]: r[1] for r in listed.groupBy("list").count().collect()}  # at most as many as centroids
     asked = scratch.written(
-        rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(
-            _prepare(index, k), "query_id bigint, vector array<float>, bound double, lists array<int>, top array<struct<id:bigint,score:double>>"
-        ),
+        rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(_prepare(index, k), "query_id bigint, vector array<float>, bound double, lists array<int>"),
         "queries",
     )
-    groups = max(1, math.ceil(n / every * index.probes / len(index.centroids) / QUERIES))
     shares = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / SHARE))) for c in range(len(index.centroids))])
-    dealt = listed.withColumn("share", F.pmod(F.xxhash64("id"), F.element_at(shares, F.col("list") + 1)).cast("int")).withColumn(
-        "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    )
-    probes = (
-        asked.select("query_id", "vector", "bound", F.explode("lists").alias("list"))
-        .withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-        .withColumn("share", F.explode(F.sequence(F.lit(0), F.element_at(shares, F.col("list") + 1) - 1)))
-    )
-    keys = ("list", "share", "group")
-    found = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_search(index, k), "query_id bigint, id bigint, score double")
-    sampled = asked.select("query_id", F.explode("top").alias("t")).select("query_id", "t.id", "t.score")
+    dealt = listed.withColumn("share", F.pmod(F.xxhash64("id"), F.element_at(shares, F.col("list") + 1)).cast("int"))
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = found.unionAll(sampled).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+    def nearest(queries: DataFrame, groups: int) -> DataFrame:
+        """The k nearest rows of each query in its lists."""
+        probes = (
+            queries.select("query_id", "vector", "bound", F.explode("lists").alias("list"))
+            .withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+            .withColumn("share", F.explode(F.sequence(F.lit(0), F.element_at(shares, F.col("list") + 1) - 1)))
+        )
+        keys = ("list", "share", "group")
+        copied = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        found = copied.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_search(index, k), "query_id bigint, id bigint, score double")
+        ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+    first = scratch.written(nearest(asked, max(1, math.ceil(n / every * index.probes / len(index.centroids) / QUERIES))), "nearest")
+    full = first.filter(F.col("rank") == k).select("query_id")
+    everywhere = F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))
+    short = scratch.written(asked.join(full, "query_id", "left_anti").select("query_id", "vector", F.lit(float("inf")).alias("bound"), everywhere.alias("lists")), "short")
+    missed = short.count()
+    if not missed:
+        return first
+    return first.join(short.select("query_id"), "query_id", "left_anti").unionAll(nearest(short, math.ceil(missed / QUERIES)))

@@ -241,6 +241,36 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nearest.search(few.limit(0)).count() == 0
 
 
+def test_nearest_rows_come_from_probed_lists_alone(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    points = r.normal(size=(3000, 24)).astype(np.float32)
+    points[[100, 900, 1700]] = points[100] + 50  # with a list of their own, too few to fill the places
+    built = []
+
+    def one_list(index, other, k):
+        index.centroids = np.vstack([index.centroids, points[100] @ index.rotation])
+        built.append(index)
+        return 1
+
+    monkeypatch.setattr(nearest.Index, "_calibrate", one_list)
+    found = nearest.search(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id bigint, embedding array<float>"), every=100).collect()
+    got = defaultdict(list)
+    for row in sorted(found, key=lambda row: (row.query_id, row.rank)):
+        got[row.query_id].append(row.vec_id)
+    assert sorted(got) == list(range(0, 3000, 100)) and all(len(v) == 10 for v in got.values())
+    places, hit = built[0].lists_of(points, 1)[:, 0], []
+    for q, v in got.items():
+        far = ((points.astype(float) - points[q].astype(float)) ** 2).sum(1)
+        far[q] = np.inf
+        nearest_of_all = set(np.argsort(far, kind="stable")[:10].tolist())
+        if q in (100, 900, 1700):
+            assert set(v) == nearest_of_all
+        else:
+            assert {places[x] for x in v} == {places[q]}
+            hit.append(len(nearest_of_all & set(v)))
+    assert len(built[0].ids) < 1000 and sum(hit) < 0.9 * 10 * len(hit)
+
+
 @pytest.mark.parametrize("name", ["op3_source_mixing", "op5_decontamination", "op10_minhash"])
 def test_query_equals_sql(spark, name):
     folder, con = "/root/testdata/sf0.001", duckdb.connect()
