@@ -154,6 +154,7 @@ def _search(index: Index, k: int):
         out = {"query_id": [], "id": [], "score": []}
         if len(rows) and len(queries):
             ids = rows["id"].to_numpy()
+            codes = np.unique(ids, return_inverse=True)[1]
             own = _matrix(rows["vector"].combine_chunks(), index.dim)
             turned = own @ index.rotation
             for at in range(0, len(queries), 64):
@@ -166,6 +167,9 @@ def _search(index: Index, k: int):
                 score = _exact_pairs(own, x, asked, q)
                 order = np.lexsort((ids[x], score, q))
                 q, x, score = q[order], x[order], score[order]
+                # repeated rows of an id must not fill the k places: the nearest of them stays
+                once = np.sort(np.unique(q * (codes.max() + 1) + codes[x], return_index=True)[1])
+                q, x, score = q[once], x[once], score[once]
                 top = np.arange(len(q)) - np.searchsorted(q, q) < k
                 out["query_id"].append(names[q[top]])
                 out["id"].append(ids[x[top]])
@@ -186,7 +190,8 @@ def search(
     query's own id is no candidate. Rows with a null id and vectors that are null,
     empty, zero, or hold null or non-finite components take no part; nor do those
     of another length than most (the greater on ties). A query gets min(k, all
-    candidates) rows. Repeated rows of one id count once. Fewer than two rows give
+    candidates) rows. Repeated rows of one id count once, with
+    the nearest of their vectors. Fewer than two rows give
     an empty result; other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
@@ -225,7 +230,7 @@ def search(
         keys = ("list", "share", "group")
         copied = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         found = copied.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(_search(index, k), "query_id bigint, id bigint, score double")
-        ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked = found.groupBy("query_id", "id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
     first = scratch.written(nearest(asked, max(1, math.ceil(n / every * index.probes / len(index.centroids) / QUERIES))), "nearest")

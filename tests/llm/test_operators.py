@@ -241,6 +241,27 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nearest.search(few.limit(0)).count() == 0
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    r = np.random.default_rng(6)
+    points = r.normal(size=(1500, 24)).astype(np.float32)
+    single = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id bigint, embedding array<float>")
+    for copies in (2, 10):
+        many = single.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
+        got = defaultdict(list)
+        for row in nearest.search(many, every=100, sample_rows=300).collect():
+            got[row.query_id].append(row.vec_id)
+        hit = 0
+        for q, v in got.items():
+            far = ((points.astype(float) - points[q].astype(float)) ** 2).sum(1)
+            far[q] = np.inf
+            assert len(v) == len(set(v)) == 10
+            hit += len(set(v) & set(np.argsort(far, kind="stable")[:10].tolist()))
+        assert len(got) == 15 and hit >= 0.95 * 150
+    two = [(k, [float(k), 1.0]) for k in range(1, 12)] + [(0, [0.0, 1.0]), (5, [0.5, 1.0])]
+    near = nearest.search(spark.createDataFrame(two, "vec_id bigint, embedding array<float>")).orderBy("rank").collect()
+    assert [r.vec_id for r in near] == [5, 1, 2, 3, 4, 6, 7, 8, 9, 10] and near[0].score == 0.5
+
+
 def test_nearest_rows_come_from_probed_lists_alone(spark, monkeypatch):
     r = np.random.default_rng(4)
     points = r.normal(size=(3000, 24)).astype(np.float32)
