@@ -47,10 +47,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, each time as a row."""
     rated = rating_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")).join(rated, "doc_id", "left")
-    copies = mixing.mix(sizes, size_col="size", weight_col="weight").filter("copies > 0").select("doc_id", "copies")
+    # ids may be null or repeat: a written key of its own leads each row's copies back to it
+    keyed = scratch.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed")
+    sizes = keyed.select("row", "doc_id", "source", mixing.word_count(F.col("text")).alias("size")).join(rated, "doc_id", "left")
+    copies = mixing.mix(sizes, size_col="size", weight_col="weight", row_col="row").filter("copies > 0").select("row", "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("time", times).select(*COLUMNS)
+    return keyed.join(copies, "row").withColumn("time", times).select(*COLUMNS)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

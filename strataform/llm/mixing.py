@@ -68,6 +68,7 @@ def mix(
     source_col: str = "source",
     size_col: str | None = None,
     weight_col: str | None = None,
+    row_col: str | None = None,
     weights: tuple[int, ...] = (5, 2, 1),
     most: int = 3,
     seed: int = 1,
@@ -79,16 +80,18 @@ def mix(
     null and empty texts have size 0. ``weight_col`` holds quality weights for the fractional part; a null,
     zero, negative or NaN weight counts as 1. A null source is a source of its
     own, a null id draws as the empty id. Repeated rows are separate documents
-    with the same key, taken in any order among themselves. An empty table gives an empty result; other columns
+    with the same key, taken in any order among themselves; ``row_col``, a written
+    integer that no two rows share, comes back as ``row`` to tell them apart. An empty table gives an empty result; other columns
     are ignored, whatever their names.
     """
     weight = F.col(weight_col) if weight_col else F.lit(1.0)
     size = F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)) if size_col else word_count(F.col(text_col))
     key = key_of(F.col(id_col), weight, seed)
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     # exp(-key) is uniform for weight 1 and falls with the key, so equal ranges of it hold few documents each
     place = F.least(F.lit(RANGES**LEVELS - 1), F.floor((1 - F.exp(-key)) * RANGES**LEVELS)).cast("int")
     slim = scratch.written(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), place.alias("place")),
+        docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), place.alias("place")),
         "sizes",
     )
     sizes = slim.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
@@ -130,5 +133,5 @@ def mix(
     last = left.groupBy("source", "missing").agg(nearest.alias("best")).filter("best.off < missing").select(F.col("best.row").alias("row"), F.lit(1).alias("last"))
     copies = F.col("copies") + F.coalesce("last", F.lit(0))
     return picked.join(last, "row", "left").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        *(["row"] if row_col else []), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
     )

@@ -2,7 +2,7 @@ import hashlib
 import importlib.util
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -320,3 +320,22 @@ def test_pipeline_stages_equal_brute_force(spark):
     mix = stages["mixing"](spark, clean, folder)
     assert mix.columns == docs.columns and {r.doc_id for r in mix.collect()} <= {r.doc_id for r in clean.collect()}
     assert stages["token_output"](spark, mix, folder).count() > 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_pipeline_mixes_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    rows = [(k, f"text {k} of many words " * (1 + k % 4), "en", "abc"[k % 3], 1) for k in range(60)]
+    rows += [(None, f"nameless {k} text", "en", "a", 1) for k in range(9)] + [(500, f"repeated {k} text", "en", "abc"[k % 3], 1) for k in range(6)]
+    rows += [(600, "the very same row", None, None, 1)] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = Counter(map(tuple, C.mixed(spark, docs, "/root/testdata/sf0.001").collect()))
+    given = Counter(rows)
+    assert set(got) <= set(given) and all(n <= 3 * given[row] for row, n in got.items())
+    assert any(row[0] is None for row in got) and any(row[0] == 500 for row in got) and any(row[0] == 600 for row in got)
+    words = lambda row: len(row[1].split())
+    goals = {r.source: r for r in mixing.mix(docs).collect()}
+    for source, goal in goals.items():
+        taken = sum(n * words(row) for row, n in got.items() if row[3] == source)
+        assert abs(taken - goal.target) <= max(words(row) for row in rows if row[3] == source)
