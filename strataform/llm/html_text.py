@@ -3,10 +3,11 @@
 The standard library's parser streams events; block tags end a line, and each line
 knows its text, its tags, its containers and whether it lies in an element named
 as boilerplate. Text-to-tag ratios of the lines are smoothed by a Gaussian, and a
-two-means threshold parts content lines from the rest. The container of the page
-that holds the content (an article or main element if there is one, else the
-smallest element with most of the content text) is the content region; the text is
-all its lines but those of boilerplate.
+two-means threshold parts content lines from the rest and gives them more weight.
+If the article and main elements hold 7/10 of the weight, they are the content
+regions, all that hold unlinked text; otherwise the smallest element with 7/10 of
+the weight is one too. The text is all lines of article and main regions but those
+of boilerplate, and the lines of the other region that are not mostly links.
 """
 
 from __future__ import annotations
@@ -148,14 +149,18 @@ def main_text(html: str | None) -> str:
     for k in usable:
         for n in lines[k][2]:
             held[n] = held.get(n, 0) + weight[k]
-    mains = [n for n in page.mains if held.get(n)]
-    if mains:
-        best = max(mains, key=lambda n: (held[n], n))
-        return "\n\n".join(lines[k][0] for k in usable if best in lines[k][2])
     total = sum(weight.values())
-    region = max((n for n in held if 10 * held[n] >= 7 * total), default=None)
-    inside = [k for k in usable if region is None or region in lines[k][2]]
-    return "\n\n".join(lines[k][0] for k in inside if weight[k])
+    # the innermost article or main element of every line with weight: an outer one counts for text of its own only
+    mains, marked = set(page.mains), {}
+    for k in usable:
+        inner = max(mains.intersection(lines[k][2]), default=None)
+        if weight[k] and inner is not None:
+            marked[inner] = marked.get(inner, 0) + weight[k]
+    kept = {k for k in usable if not marked.keys().isdisjoint(lines[k][2])}
+    if 10 * sum(marked.values()) < 7 * total or not marked:
+        region = max((n for n in held if 10 * held[n] >= 7 * total), default=None)
+        kept.update(k for k in usable if weight[k] and (region is None or region in lines[k][2]))
+    return "\n\n".join(lines[k][0] for k in sorted(kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

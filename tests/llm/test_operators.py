@@ -220,6 +220,18 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_html_keeps_every_article_and_content_outside():
+    story = lambda name, n: f"<h2>{name}</h2>" + f"<p>{name} has a sentence of some length, and words.</p>" * n
+    menu = "<ul><li><a href=a>More stories</a></li></ul>"
+    three = f"<body><article>{story('One', 6)}</article><article>{story('Two', 2)}</article>{menu}<article><p>Short.</p></article></body>"
+    text = html_text.main_text(three)
+    assert (text.count("One has"), text.count("Two has"), text.count("Short."), text.count("More")) == (6, 2, 1, 0)
+    nested = html_text.main_text(f"<body><main>{menu}<article>{story('One', 3)}</article><article>{story('Two', 3)}</article></main></body>")
+    assert nested.count("One has") == nested.count("Two has") == 3 and "More" not in nested
+    outside = html_text.main_text(f"<body><div>{story('Body', 9)}</div><article>{story('Teaser', 1)}</article>{menu}</body>")
+    assert (outside.count("Body has"), outside.count("Teaser has"), outside.count("More")) == (9, 1, 0)
+
+
 def test_nearest_recall_and_odd_vectors(spark):
     r = np.random.default_rng(2)
     points = np.concatenate([r.normal(size=(1500, 24)), np.tile(r.normal(size=24), (400, 1))]).astype(np.float32)
