@@ -6,7 +6,9 @@ as boilerplate. Text-to-tag ratios of the lines are smoothed by a Gaussian, and
 two-means threshold parts content lines from the rest and gives them more weight.
 If the article and main elements hold 7/10 of the weight, they are the content
 regions, all that hold unlinked text; otherwise the smallest element with 7/10 of
-the weight is one too. The text is all lines of article and main regions but those
+the weight is one too. Words in class and id mark boilerplate, but drop no article or
+main element by themselves, and no element with 7/10 of the weight and several
+content lines, if no article has text outside it. The text is all lines of article and main regions but those
 of boilerplate, and the lines of the other region that are not mostly links.
 """
 
@@ -35,6 +37,14 @@ _MARKS = frozenset(
 _MAIN = frozenset({"article", "main"})
 _CLOSED_BY = {"p": None, "li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
+#: First parts of names that only tell what a page has or lacks.
+_STATES = frozenset("has have no not with without".split())
+
+
+def _named(value: str | None) -> bool:
+    """Whether a class or id names boilerplate."""
+    parts = (_NAME_PARTS.split(x) for x in (value or "").lower().split())
+    return any(p[0] not in _STATES and not _MARKS.isdisjoint(p) for p in parts)
 
 
 class Lines(HTMLParser):
@@ -44,6 +54,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
         self.mains: list[int] = []
+        self.named: set[int] = set()  # elements that a class or id marks as boilerplate
         self._open: list[tuple[str, int, bool]] = []  # name, number, in boilerplate
         self._number = 0
         self._text: list[str] = []
@@ -81,12 +92,15 @@ class Lines(HTMLParser):
         if tag in _VOID:
             return
         dropped = bool(self._open) and self._open[-1][2] or tag in _DROPPED
+        self._number += 1
+        main = tag in _MAIN or ("role", "main") in attrs
         if not dropped and tag not in ("body", "html"):
             for key, value in attrs:
-                if key == "hidden" or key in ("class", "id", "role") and not _MARKS.isdisjoint(_NAME_PARTS.split((value or "").lower())):
+                if key == "hidden" or key == "role" and not _MARKS.isdisjoint(_NAME_PARTS.split((value or "").lower())):
                     dropped = True
-        self._number += 1
-        if not dropped and (tag in _MAIN or ("role", "main") in attrs):
+                elif key in ("class", "id") and not main and _named(value):
+                    self.named.add(self._number)
+        if not dropped and main:
             self.mains.append(self._number)
         self._open.append((tag, self._number, dropped))
 
@@ -134,17 +148,37 @@ def content_lines(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
+def _holding(page: Lines, weight: dict[int, int], content: np.ndarray) -> set[int]:
+    """Marked elements that hold the page's content, so that their names do not count."""
+    total, mains = sum(weight.values()), set(page.mains)
+    held: dict[int, int] = {}
+    told: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    every = 0
+    for k, w in weight.items():
+        inside = page.lines[k][2]
+        article = bool(w) and not mains.isdisjoint(inside)
+        every += article
+        for n in page.named.intersection(inside):
+            held[n] = held.get(n, 0) + w
+            told[n] = told.get(n, 0) + int(w > 0 and content[k])
+            articles[n] = articles.get(n, 0) + article
+    return {n for n in held if 10 * held[n] >= 7 * total and told[n] > 1 and articles[n] == every}
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main text joined by a blank line; empty if there are none."""
     page = Lines()
     page.feed(html or "")
     page.finish()
     lines = page.lines
-    usable = [k for k, x in enumerate(lines) if not x[3]]
+    content = content_lines(np.array([len(x[0]) / x[1] for x in lines])) if lines else []
+    weight = {k: len(x[0]) * (4 if content[k] else 1) * (0 if 2 * x[4] > len(x[0]) else 1) for k, x in enumerate(lines) if not x[3]}
+    named = page.named - _holding(page, weight, content) if page.named else page.named
+    usable = [k for k in weight if named.isdisjoint(lines[k][2])]
+    weight = {k: weight[k] for k in usable}
     if not usable:
         return ""
-    content = content_lines(np.array([len(x[0]) / x[1] for x in lines]))
-    weight = {k: len(lines[k][0]) * (4 if content[k] else 1) * (0 if 2 * lines[k][4] > len(lines[k][0]) else 1) for k in usable}
     held: dict[int, int] = {}
     for k in usable:
         for n in lines[k][2]:

@@ -232,6 +232,22 @@ def test_html_keeps_every_article_and_content_outside():
     assert (outside.count("Body has"), outside.count("Teaser has"), outside.count("More")) == (9, 1, 0)
 
 
+def test_html_names_alone_drop_no_content():
+    story = "<p>Some longer sentence of the body text, with words.</p>" * 5
+    boxes = '<div class="sidebar"><p>Aside</p></div><div class="ad"><p>Buy it</p></div>'
+    for opening, closing in (
+        ('<main class="content has-sidebar">', "</main>"), ('<article class="post no-comments">', "</article>"), ('<article class="widget">', "</article>"), ('<div class="with-sidebar">', "</div>"),
+        ('<div id="search-results-article">', "</div>"), ('<div id="search-results-article"><article>', "</article></div>"), ('<div class="no-comments"><div class="widget-area">', "</div></div>"),
+    ):
+        text = html_text.main_text(f"<body>{boxes}{opening}{story}{closing}</body>")
+        assert text.count("Some longer") == 5 and "Aside" not in text and "Buy" not in text, opening
+    thread = '<div id="comments">' + "<p>A comment that goes on for rather many words, as they do.</p>" * 30 + "</div>"
+    for page in (f"<body><article>{story}</article>{thread}</body>", f"<body><article>{story}{thread}</article></body>"):
+        assert html_text.main_text(page).count("Some longer") == 5 and "comment" not in html_text.main_text(page)
+    assert html_text.main_text('<body><div class="ad"><p>Buy it now, as long as it is here.</p></div></body>') == ""
+    assert html_text.main_text(f'<body><article hidden>{story}</article><main role="search">{story}</main></body>') == ""
+
+
 def test_nearest_recall_and_odd_vectors(spark):
     r = np.random.default_rng(2)
     points = np.concatenate([r.normal(size=(1500, 24)), np.tile(r.normal(size=24), (400, 1))]).astype(np.float32)
