@@ -285,9 +285,10 @@ def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.distances(_nodes(spark, d)))
 
 
-def _matches(spark: SparkSession, d: str, most: int) -> DataFrame:
+def _matches(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
     at = lambda side, k, c: _side(spark, d, side).select("pair_id", F.col("id").alias(k), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
-    best = _ranked(spark, d).filter(F.col("rank") <= most)
+    best = _ranked(spark, d)
+    best = best if most is None else best.filter(F.col("rank") <= most)
     return best.join(at("src", "src", "s"), ["pair_id", "src"]).join(at("tgt", "tgt", "t"), ["pair_id", "tgt"]).withColumn("k", F.col("rank"))
 
 
@@ -307,6 +308,18 @@ def clique_weight(spark: SparkSession, d: str) -> DataFrame:
     return rounded(similar.groupBy("pair_id", (F.col("i") % 5).alias("part")).agg(F.count("*").alias("links"), F.sum("weight").alias("weight")))
 
 
+# over all ranked seeds; the queries of the same name without _all have SQL, which stops at a rank
+@query()
+def distance_similarity_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.similarity(_matches(spark, d), LENGTH))
+
+
+@query()
+def clique_weight_all(spark: SparkSession, d: str) -> DataFrame:
+    similar = M.similarity(_matches(spark, d), LENGTH).filter("weight > 0")
+    return rounded(similar.groupBy("pair_id").agg(F.count("*").alias("links"), F.sum("weight").alias("weight")))
+
+
 @query(
     "WITH RECURSIVE "
     + _with(*_GRAPH, _RANKED, _SIMILAR.format(most=24))[5:]
@@ -339,13 +352,27 @@ def rigid2d_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.rigid2d(_matches(spark, d, 200), "pair_id"))
 
 
+@query()
+def rigid2d_fit_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(S.rigid2d(_matches(spark, d), "pair_id"))
+
+
 @query(
     _with(*_GRAPH, _RANKED, _FIT)
     + f"""SELECT 'p' AS pair_id, count(*) AS inliers FROM (SELECT cos(yaw) * x - sin(yaw) * y + dx AS x, sin(yaw) * x + cos(yaw) * y + dy AS y FROM nodes, fit WHERE cloud_id = 'src') s
 WHERE EXISTS (SELECT 1 FROM nodes t WHERE t.cloud_id = 'tgt' AND pow(s.x - t.x, 2) + pow(s.y - t.y, 2) <= {LENGTH * LENGTH})"""
 )
 def inlier_count(spark: SparkSession, d: str) -> DataFrame:
-    fit = S.rigid2d(_matches(spark, d, 200), "pair_id").drop("n")
+    return _inliers(spark, d, _matches(spark, d, 200))
+
+
+@query()
+def inlier_count_all(spark: SparkSession, d: str) -> DataFrame:
+    return _inliers(spark, d, _matches(spark, d))
+
+
+def _inliers(spark: SparkSession, d: str, matches: DataFrame) -> DataFrame:
+    fit = S.rigid2d(matches, "pair_id").drop("n")
     source = S.moved2d(_side(spark, d, "src").select("pair_id", "x", "y").join(fit, "pair_id")).select("pair_id", "x", "y")
     return S.inliers(source, _side(spark, d, "tgt").select("pair_id", "x", "y"), LENGTH, ("pair_id",), ("pair_id",))
 

@@ -2,6 +2,7 @@ import importlib
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,6 +22,31 @@ def test_query_equals_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in columns)) for r in frame.collect()) == sorted(str(tuple(r[k] for k in order)) for r in told.fetchall())
 
 
+def test_all_ranked_seeds_equal_brute_force(spark):
+    at = {(r.cloud_id, r.id): (r.x, r.y) for r in catalog._nodes(spark, FOLDER).collect()}
+    ranked = sorted(catalog._ranked(spark, FOLDER).collect(), key=lambda r: r["rank"])
+    assert len(ranked) > 200
+    s, t = (np.array([at[side, r[side]] for r in ranked]) for side in ("src", "tgt"))
+    apart = lambda p: np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
+    gap = np.abs(apart(s) - apart(t))[np.triu_indices(len(ranked), 1)]
+    weight = np.where(gap <= catalog.LENGTH, np.exp(-(gap**2) / (2 * catalog.LENGTH**2)), -1.0)
+    run = lambda name: catalog.QUERIES[name](spark, FOLDER)
+    pairs = run("distance_similarity_all").toPandas().sort_values(["i", "j"])
+    assert len(pairs) == len(weight) and np.abs(pairs["weight"].to_numpy() - weight).max() < 2e-6
+    total = run("clique_weight_all").first()
+    assert total.links == (weight > 0).sum() and abs(total.weight - weight[weight > 0].sum()) < 1e-4
+    (a, b), (c, d) = (s - s.mean(0)).T, (t - t.mean(0)).T
+    yaw = np.arctan2((a * d - b * c).sum(), (a * c + b * d).sum())
+    turn = np.array([[np.cos(yaw), -np.sin(yaw)], [np.sin(yaw), np.cos(yaw)]])
+    shift = t.mean(0) - turn @ s.mean(0)
+    fit = run("rigid2d_fit_all").first()
+    assert fit.n == len(ranked) and np.abs(np.array([fit.yaw, fit.dx, fit.dy]) - [yaw, *shift]).max() < 1e-5
+    source, target = (np.array([p for (side, _), p in at.items() if side == name]) for name in ("src", "tgt"))
+    moved = source @ turn.T + shift
+    near = ((moved[:, None] - target[None]) ** 2).sum(2).min(1) <= catalog.LENGTH**2
+    assert run("inlier_count_all").first().inliers == near.sum()
+
+
 def test_entry_works_without_the_removable_part(monkeypatch):
     monkeypatch.setitem(sys.modules, "strataform.llm", None)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
