@@ -1,8 +1,9 @@
-"""Repeated passages of documents by prefix-partitioned suffix trees.
+"""Repeated passages of documents by hashed windows, dealt out by prefix.
 
-A suffix is the word sequence from some word of a document on. Only nodes at
-least ``window`` words deep matter, so trees are cut at that depth, and only
-suffixes that can lie under such a node are dealt out:
+A suffix is the word sequence from some word of a document on. Of a suffix tree
+only nodes ``window`` words deep would matter, so no tree is built: hashes of the
+window's first words and of its other words stand for its path down to that depth.
+Only suffixes that can lie under such a node are dealt out:
 
 0. A text that is wholly the same as that of a smaller id starts earlier in every
    window; it goes as a whole and takes no further part.
@@ -13,8 +14,8 @@ suffixes that can lie under such a node are dealt out:
 2. Suffixes whose window has a repeated anchor are dealt out by prefix: the first
    5 words, or, if the anchor occurs more than ``group`` times, all words of the
    window plus a share number. No group exceeds memory, whatever its key.
-3. A task sorts its suffixes and walks them once: neighbours with a common prefix
-   of the full window are leaves below one deep internal node. All but the first
+3. A task sorts its suffixes and walks them once: neighbours with equal hashes of
+   the full window are leaves below one deep node. All but the first
    leaf, by (doc_id, start), are repeats. Where a prefix was dealt to several
    shares, their first leaves meet once more.
 4. Repeated windows go back to their document, which drops the words they cover;
@@ -118,8 +119,7 @@ def _suffixes(window: int):
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves in order, each told whether an earlier leaf hangs below the same deep node.
 
-    Sorted leaves with the common prefix of neighbours are the tree's compact
-    form. Only the last node's first leaf is carried over, so a task holds one batch.
+    A deep node is a run of equal hash pairs among the sorted leaves. Only the last node's first leaf is carried over, so a task holds one batch.
     """
     carried = None
     for batch in batches:
