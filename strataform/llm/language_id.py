@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,14 @@ SAMPLE = 2000
 _LAST = 0x32400  # no letters beyond
 
 
+#: Bytes of text whose sequences are held at a time; a longer text is counted part by part.
+CHUNK = 1 << 18
+
+
 @cache
 def _letters() -> np.ndarray:
     """Lower case of every code point that is a letter, 0 for all others."""
-    out = np.zeros(_LAST + 1, np.uint64)
+    out = np.zeros(_LAST + 1, np.uint32)
     for c in range(_LAST):
         if 0xD800 <= c < 0xE000 or not chr(c).isalpha():
             continue
@@ -36,45 +41,90 @@ def _letters() -> np.ndarray:
     return out
 
 
-def gram_keys(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sequences of a chunk, (row in the top 12 bits, hash below), sorted; and which rows hold a letter.
+def _points(data: np.ndarray) -> np.ndarray:
+    return _letters()[np.minimum(np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), _LAST)]
 
-    A run of anything but letters counts as one blank; a sequence may start or end in a blank, not have one inside.
-    """
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    edge = before[offsets]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(edge))
-    letter = _letters()[np.minimum(points, _LAST)]
-    has = np.bincount(row, weights=letter > 0, minlength=len(offsets) - 1) > 0
-    keep = letter > 0
-    keep[1:] |= letter[:-1] > 0
-    c, row = letter[keep], row[keep].astype(np.uint64)
-    keys = [(row << np.uint64(52) | W.mix(c) >> np.uint64(12))[c > 0]]
-    if len(c) > 1:
-        same = (row[1:] == row[:-1]) & ((c[1:] > 0) | (c[:-1] > 0))
-        keys.append((row[1:] << np.uint64(52) | W.mix(c[:-1] << np.uint64(21) | c[1:] | np.uint64(1 << 62)) >> np.uint64(12))[same])
-    if len(c) > 2:
-        same = (row[2:] == row[:-2]) & (c[1:-1] > 0)
-        keys.append((row[2:] << np.uint64(52) | W.mix(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:] | np.uint64(1 << 63)) >> np.uint64(12))[same])
-    out = np.concatenate(keys)
-    out.sort()
-    return out, has
+
+def _keys(c: np.ndarray, row: np.ndarray, carried: int) -> np.ndarray:
+    """Keys, (row in the top 12 bits, hash below), of the sequences that end after the first ``carried`` letters or blanks."""
+
+    def key(size: int) -> np.ndarray:
+        low = max(0, carried - size + 1)
+        code, own = c[low:], row[low:]
+        last = len(code) - size + 1
+        if last <= 0:
+            return np.zeros(0, np.uint64)
+        good = own[:last] == own[size - 1 :]
+        if size == 1:
+            good &= code > 0
+        elif size == 2:
+            good &= (code[1:] > 0) | (code[:-1] > 0)
+        else:
+            good &= code[1:-1] > 0
+        at = np.flatnonzero(good)
+        value = np.full(len(at), (0, 0, 1 << 62, 1 << 63)[size], np.uint64)
+        for k in range(size):
+            value |= code[at + k].astype(np.uint64) << np.uint64(21 * (size - 1 - k))
+        return own[at].astype(np.uint64) << np.uint64(52) | W.mix(value) >> np.uint64(12)
+
+    return np.concatenate([key(1), key(2), key(3)])
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[at], np.diff(np.append(at, len(keys)))
 
 
+def _long_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``gram_counts`` of one text, part by part: the last two letters or blanks lead the next part."""
+    before, closed, has = np.zeros(0, np.uint32), False, False
+    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = 0
+    while at < len(data):
+        to = min(at + CHUNK, len(data))
+        while to < len(data) and data[to] & 0xC0 == 0x80:
+            to += 1
+        letter = _points(data[at:to])
+        keep = letter > 0
+        has = has or bool(keep.any())
+        blank = ~keep
+        keep[1:] |= letter[:-1] > 0
+        keep[0] |= closed
+        closed = not blank[-1]
+        c = np.concatenate([before, letter[keep]])
+        more, count = _runs(_keys(c, np.zeros(len(c), np.uint16), len(before)))
+        both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([n, count]), minlength=len(both)).astype(np.int64)
+        keys, before, at = both, c[-2:], to
+    return keys, n, np.array([has])
+
+
+def gram_counts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sequences of a chunk, as sorted keys (row in the top 12 bits, hash below), their counts; and which rows hold a letter.
+
+    A run of anything but letters counts as one blank; a sequence may start or end in a blank, not have one inside.
+    """
+    rows = len(offsets) - 1
+    if rows == 1 and len(data) > CHUNK:
+        return _long_counts(data)
+    letter = _points(data)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+    row = np.repeat(np.arange(rows, dtype=np.uint16), np.diff(before[offsets]))
+    keep = letter > 0
+    has = np.bincount(row[keep], minlength=rows) > 0
+    keep[1:] |= letter[:-1] > 0
+    return *_runs(_keys(letter[keep], row[keep], 0)), has
+
+
 _HASH = np.uint64((1 << 52) - 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts per language and sequence, summed over each chunk."""
     for batch in batches:
-        for first, offsets, data in W.texts(batch.column(1)):
-            keys, n = _runs(gram_keys(offsets, data)[0])
+        for first, offsets, data in W.texts(batch.column(1), CHUNK):
+            keys, n, _ = gram_counts(offsets, data)
             langs = batch.column(0).slice(first, len(offsets) - 1).dictionary_encode()
             code = langs.indices.to_numpy()[(keys >> np.uint64(52)).astype(np.int64)].astype(np.uint64)
             order = np.argsort(code << np.uint64(52) | keys & _HASH, kind="stable")
@@ -108,7 +158,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     return profiles
 
 
-def _compare(profiles: dict[str, list[int]], length: int):
+def _compare(profiles: dict[str, list[int]], length: int, inside: str | None = None):
     langs = sorted(profiles)
     grams = np.unique(np.array([g for lang in langs for g in profiles[lang]], np.int64))
     ranks = np.full((len(grams) + 1, len(langs)), -1, np.int64)
@@ -117,10 +167,10 @@ def _compare(profiles: dict[str, list[int]], length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, offsets, data in W.texts(batch.column(1)):
+            column = pc.struct_field(batch.column(0), inside) if inside else batch.column(1)
+            for first, offsets, data in W.texts(column, CHUNK):
                 rows = len(offsets) - 1
-                keys, has = gram_keys(offsets, data)
-                keys, n = _runs(keys)
+                keys, n, has = gram_counts(offsets, data)
                 row = keys >> np.uint64(52)
                 order = np.argsort(row << np.uint64(52) | (np.uint64((1 << 24) - 1) - np.minimum(n, (1 << 24) - 1).astype(np.uint64)) << np.uint64(28) | keys >> np.uint64(24) & np.uint64((1 << 28) - 1))
                 row, gram = row[order].astype(np.int64), (keys[order] & _HASH).astype(np.int64)
@@ -146,7 +196,7 @@ def _compare(profiles: dict[str, list[int]], length: int):
     return run
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], *, id_col: str = "doc_id", text_col: str = "text", length: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], *, id_col: str = "doc_id", text_col: str = "text", length: int = PROFILE, inside: str | None = None) -> DataFrame:
     """Language of every text.
 
     Returns one row per input row: doc_id, lang_pred and score, which is 1 less the
@@ -154,11 +204,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *, id_col: str = "d
     without a letter, or no profile at all gives ``und`` with score 0; equal
     distances go to the language first in order. Repeated rows are separate
     rows; an empty table gives an empty result; other columns are ignored,
-    whatever their names. Whole texts are counted, however long.
+    whatever their names. Whole texts are counted, however long, ``CHUNK`` bytes
+    at a time. ``inside`` names the field of the id column that holds the text,
+    for ids that are whole rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = F.col(id_col).alias("doc_id")
+    rows = docs.select(key) if inside else docs.select(key, F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_compare(profiles, length), f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(_compare(profiles, length, inside), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

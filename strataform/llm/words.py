@@ -1,7 +1,8 @@
 """Words of whole Arrow text columns as numpy arrays, without a Python object per word.
 
 A chunk is a run of rows of at most ``CHUNK`` bytes, or one longer row alone, so
-memory follows the chunk and the longest single text, never the partition.
+memory follows the chunk and the longest single text, never the partition. Nothing
+is kept between chunks but tables of 1 MB.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 ROWS = 4096
 
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -32,25 +33,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PIECE = 1 << 16
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _power_table(base: int) -> np.ndarray:
+    table = np.full(PIECE, base, np.uint64)
+    table[0] = 1
+    return np.cumprod(table, dtype=np.uint64)
 
 
-def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-independent hash of ``values[start:end]`` for each pair, from one prefix sum."""
-    power, inverse = _power_tables(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+_POWER, _INVERSE = _power_table(_BASE), _power_table(_BASE_INVERSE)
+
+
+def _sums(values: np.ndarray, at: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+    """Weighted sum of the values before each place of ``at`` (ascending), a piece at a time."""
+    out = np.zeros(len(at), np.uint64)
+    total, done = np.zeros(1, np.uint64), int(np.searchsorted(at, 0, "right"))
+    for low in range(0, len(values), PIECE):
+        piece = values[low : low + PIECE]
+        if table is not None:
+            piece = table[piece]
+        sums = np.cumsum(piece * _POWER[: len(piece)]) * np.uint64(pow(_BASE, low, 1 << 64)) + total
+        upto = int(np.searchsorted(at, low + len(piece), "right"))
+        out[done:upto] = sums[at[done:upto] - low - 1]
+        total, done = sums[-1:], upto
+    return out
+
+
+def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Position-independent hash of ``values[start:end]`` (through ``table``) for each pair; starts and ends both ascend."""
+    far = np.array([pow(_BASE_INVERSE, low, 1 << 64) for low in range(0, len(values) + 1, PIECE)], np.uint64)
+    inverse = far[start // PIECE] * _INVERSE[start % PIECE]
+    return mix((_sums(values, end, table) - _sums(values, start, table)) * inverse + (end - start).astype(np.uint64))
 
 
 class Words(NamedTuple):
@@ -71,7 +85,7 @@ class Words(NamedTuple):
         return _ranges(self.hash, at, at + k), self.row[:n] == self.row[k - 1 :]
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks of a string column: first row, byte offsets from 0, bytes. A null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
@@ -81,7 +95,7 @@ def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1
         to = min(max(to, at + 1), at + ROWS, len(column))
         yield at, offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]]
         at = to
@@ -93,10 +107,12 @@ def words(offsets: np.ndarray, data: np.ndarray, fold: bool = False, between: np
     inside = ~between[data]
     fresh = np.zeros(n + 1, bool)
     fresh[offsets] = True
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    start = np.flatnonzero(inside & (~before | fresh[:n]))
-    end = np.flatnonzero(inside & (~after | fresh[1:])) + 1
+    edge = inside.copy()
+    edge[1:] &= ~inside[:-1] | fresh[1:n]
+    start = np.flatnonzero(edge)
+    edge = inside.copy()
+    edge[:-1] &= ~inside[1:] | fresh[1:n]
+    end = np.flatnonzero(edge) + 1
     row = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(start, offsets)
-    return Words(_ranges(_BYTE[_FOLD[data] if fold else data], start, end), start, end, row, first)
+    return Words(_ranges(data, start, end, _BYTE[_FOLD] if fold else _BYTE), start, end, row, first)

@@ -2,6 +2,8 @@ import hashlib
 import importlib.util
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -367,3 +369,32 @@ def test_pipeline_mixes_null_and_repeated_ids(spark):
     for source, goal in goals.items():
         taken = sum(n * words(row) for row, n in got.items() if row[3] == source)
         assert abs(taken - goal.target) <= max(words(row) for row in rows if row[3] == source)
+
+
+def test_language_of_long_texts_part_by_part(monkeypatch):
+    r = random.Random(4)
+    text = "".join(r.choice("abé ,.xÄ𝒳1\n") for _ in range(5000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = language_id.gram_counts(np.array([0, len(data)]), data)
+    for chunk in (1, 7, 64, 4999):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        parts = language_id.gram_counts(np.array([0, len(data)]), data)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+@pytest.mark.parametrize("texts", [1, 2000])
+def test_language_worker_stays_small(texts):
+    """Twenty million bytes, in one text or many, in a process of its own."""
+    code = f"""
+import pyarrow as pa
+from strataform.llm import language_id as L
+peak = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmHWM")) // 1024
+text = ("Some words of a längere text, and more. " * 26000)[:1000000] * 20
+step = len(text) // {texts}
+batch = pa.RecordBatch.from_arrays([pa.array(range({texts})), pa.array([text[k * step : (k + 1) * step] for k in range({texts})])], ["i", "t"])
+before = peak()
+assert sum(len(x) for x in L._compare({{"a": list(range(400))}}, 400)(iter([batch]))) == {texts}
+print(peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 60
