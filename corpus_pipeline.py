@@ -29,7 +29,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learnt language: those without a letter, or like no profile, go."""
     profiles = language_id.learn(docs.filter(~language_id.held_out("doc_id")))
-    found = language_id.predict(docs.select(F.struct(*COLUMNS).alias("doc"), "text"), profiles, id_col="doc")
+    found = language_id.predict(docs.select(F.struct(*COLUMNS).alias("doc")), profiles, id_col="doc", inside="text")
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id.*")
 
 
