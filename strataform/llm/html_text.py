@@ -1,15 +1,23 @@
 """Main text of web pages from text-to-tag ratios.
 
 The standard library's parser streams events; block tags end a line, and each line
-knows its text, its tags, its containers and whether it lies in an element named
-as boilerplate. Text-to-tag ratios of the lines are smoothed by a Gaussian, and a
-two-means threshold parts content lines from the rest and gives them more weight.
-If the article and main elements hold 7/10 of the weight, they are the content
-regions, all that hold unlinked text; otherwise the smallest element with 7/10 of
-the weight is one too. Words in class and id mark boilerplate, but drop no article or
-main element by themselves, and no element with 7/10 of the weight and several
-content lines, if no article has text outside it. The text is all lines of article and main regions but those
-of boilerplate, and the lines of the other region that are not mostly links.
+knows its text, its tags and the element it stands in. Its ratio is unlinked
+characters a tag, divided by ``MARKED`` for every element round it that a tag name,
+class or id marks as boilerplate, so that a mark on a wrapper of the whole page
+changes no order. Logarithms of the ratios are smoothed by a Gaussian, and a
+two-means threshold tells the content lines.
+
+The content region is the smallest element with 7/10 of the content lines' text. It
+grows to its parent as long as what that adds is mostly content, headings, or
+little; an article or main element grows only for content outside it. The text is
+the region's lines, but for those mostly of links, those of elements that are always
+left out, and those of marked elements that hold less than half of the content.
+Lines right below the body count only between the first and the last heading or
+content line of at least a third of the content lines' median length.
+
+Markup is cut into tags in one pass before the parser sees it, so no input makes the
+parser start again: a comment, tag or script that never ends takes the rest of the
+page with it, as in browsers.
 """
 
 from __future__ import annotations
@@ -28,105 +36,197 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_DROPPED = frozenset("head title script style noscript template nav header footer aside form menu button select option textarea iframe object svg canvas dialog audio video math".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_DROPPED = frozenset("head title script style noscript template menu button select option textarea iframe object svg canvas dialog audio video math".split())
+_MARKED_TAGS = frozenset("nav header footer aside form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MARKS = frozenset(
     "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead comment comments reply replies respond disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended widget toolbar pagination pager complementary contentinfo search skip".split()
 )
 _MAIN = frozenset({"article", "main"})
-_CLOSED_BY = {"p": None, "li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
+_CLOSED_BY = {"li": frozenset({"li"}), "dd": frozenset({"dd", "dt"}), "dt": frozenset({"dd", "dt"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
-#: First parts of names that only tell what a page has or lacks.
+#: Parts of names after which the next part only tells what a page has or lacks.
 _STATES = frozenset("has have no not with without".split())
+_TAG = re.compile(r"<(?:[!?][^>]*+>|/?+(?P<name>[a-zA-Z][^\s/>]*+)(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+>)")
+_SPACE = re.compile(r"\s+")
+
+#: What a mark divides a line's ratio by.
+MARKED = 5.0
+#: Shares of the content's text: that a region holds, and below which a marked element is boilerplate.
+REGION, SPARED = 0.7, 0.5
+#: Text that a parent may add without being content, as a share of the region's; and inside an article or main element.
+SLACK, MAIN_SLACK = 0.2, 0.5
 
 
-def _named(value: str | None) -> bool:
+def _named(value: str) -> bool:
     """Whether a class or id names boilerplate."""
-    parts = (_NAME_PARTS.split(x) for x in (value or "").lower().split())
-    return any(p[0] not in _STATES and not _MARKS.isdisjoint(p) for p in parts)
+    for name in value.lower().split():
+        before = ""
+        for part in _NAME_PARTS.split(name):
+            if part in _MARKS and before not in _STATES:
+                return True
+            before = part
+    return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, containers, boilerplate, linked characters)."""
+    """Lines of a page, and its elements in the order of their start tags; element 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
-        self.mains: list[int] = []
-        self.named: set[int] = set()  # elements that a class or id marks as boilerplate
-        self._open: list[tuple[str, int, bool]] = []  # name, number, in boilerplate
-        self._number = 0
-        self._text: list[str] = []
-        self._tags = 0
-        self._linked = 0
-
-    def flush(self) -> None:
-        text = " ".join("".join(self._text).split())
+        self.text: list[str] = []
+        self.tags: list[int] = []
+        self.linked: list[int] = []
+        self.element: list[int] = []
+        self.heading: list[bool] = []
+        # of each element
+        self.parent = [0]
+        self.name = [""]
+        self.marked = [False]
+        self.dropped = [False]
+        self.in_main = [False]  # an article or main element, or in one
+        self._open = [0]
+        self._at: dict[str, list[int]] = {}  # places in _open by name
+        self._blocks = [0]  # places in _open of all but inline elements
+        self._part: list[str] = []
+        self._tag = 0
+        self._link = 0
+        self._head = False
+
+    def read(self, html: str) -> None:
+        at, search = 0, html.find
+        while True:
+            tag = search("<", at)
+            while tag >= 0 and not (html[tag + 1 : tag + 2].isalpha() and html[tag + 1].isascii() or html[tag + 1 : tag + 2] in ("/", "!", "?")):
+                tag = search("<", tag + 1)
+            if tag < 0:
+                self._give(html[at:])
+                break
+            if tag > at:
+                self._give(html[at:tag])
+            if html.startswith("<!--", tag):
+                end = search("-->", tag + 2)
+                at = end + 3
+                if end < 0:
+                    break
+                continue
+            if html.startswith("</", tag) and not (html[tag + 2 : tag + 3].isalpha() and html[tag + 2].isascii()):
+                end = search(">", tag)
+                at = end + 1
+                if end < 0:
+                    break
+                continue
+            found = _TAG.match(html, tag)
+            if not found:
+                break
+            at = found.end()
+            name = found["name"]
+            if not name:
+                continue
+            self.feed(html[tag:at])
+            if self.rawdata:  # a tag that the parser still waits on
+                self.rawdata = ""
+            if name.lower() in _RAW and html[tag + 1] != "/":
+                end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+                self.clear_cdata_mode()
+                if not end:
+                    break
+                at = end.start()
+        self._flush()
+
+    def _give(self, data: str) -> None:
+        if not self.dropped[self._open[-1]]:
+            self.handle_data(self._unescape(data))
+
+    @staticmethod
+    def _unescape(data: str) -> str:
+        from html import unescape
+
+        return unescape(data) if "&" in data else data
+
+    def _flush(self) -> None:
+        text = _SPACE.sub(" ", "".join(self._part)).strip()
         if text:
-            dropped = bool(self._open) and self._open[-1][2]
-            self.lines.append((text, max(1, self._tags), tuple(n for _, n, _ in self._open), dropped, self._linked))
-        self._text, self._tags, self._linked = [], 0, 0
-
-    def _close_open_paragraph(self) -> None:
-        for k in range(len(self._open) - 1, -1, -1):
-            name = self._open[k][0]
-            if name == "p":
-                del self._open[k:]
-                return
-            if name not in _INLINE:
-                return
+            self.text.append(text)
+            self.tags.append(max(1, self._tag))
+            self.linked.append(self._link)
+            self.element.append(self._open[self._blocks[-1]])
+            self.heading.append(self._head)
+        self._part, self._tag, self._link = [], 0, 0
+        self._head = False
+
+    def _pop(self, to: int) -> None:
+        while len(self._open) > to:
+            self._at[self.name[self._open.pop()]].pop()
+        while self._blocks[-1] >= to:
+            self._blocks.pop()
+
+    def _block(self) -> str:
+        return self.name[self._open[self._blocks[-1]]]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _INLINE:
-            self._tags += 1
+        inline = tag in _INLINE
+        self._tag += 1
+        if inline:
             if tag == "br":
-                self._text.append(" ")
+                self._part.append(" ")
+            if tag == "a" and self._at.get("a") and self._at["a"][-1] > self._blocks[-1]:
+                self._pop(self._at["a"][-1])  # links do not nest
         else:
-            self.flush()
-            self._tags += 1
-            self._close_open_paragraph()
-            closing = _CLOSED_BY.get(tag)
-            if closing and self._open and self._open[-1][0] in closing:
-                self._open.pop()
+            count, self._tag = self._tag, self._tag - 1
+            self._flush()
+            self._tag = count - self._tag if self._tag else 1
+            closing = _CLOSED_BY.get(tag, ())
+            while len(self._blocks) > 1 and (self._block() == "p" or self._block() in closing):
+                self._pop(self._blocks[-1])
         if tag in _VOID:
             return
-        dropped = bool(self._open) and self._open[-1][2] or tag in _DROPPED
-        self._number += 1
-        main = tag in _MAIN or ("role", "main") in attrs
+        outer = self._open[-1]
+        dropped = self.dropped[outer] or tag in _DROPPED
+        role = next((value for key, value in attrs if key == "role" and value), "").lower()
+        main = tag in _MAIN or role == "main"
+        marked = tag in _MARKED_TAGS and not (tag == "header" and self.in_main[outer])
         if not dropped and tag not in ("body", "html"):
             for key, value in attrs:
-                if key == "hidden" or key == "role" and not _MARKS.isdisjoint(_NAME_PARTS.split((value or "").lower())):
+                if key == "hidden" or key == "role" and not _MARKS.isdisjoint(_NAME_PARTS.split(role)):
                     dropped = True
-                elif key in ("class", "id") and not main and _named(value):
-                    self.named.add(self._number)
-        if not dropped and main:
-            self.mains.append(self._number)
-        self._open.append((tag, self._number, dropped))
+                elif key in ("class", "id") and value and _named(value):
+                    marked = True
+        self._open.append(len(self.parent))
+        self._at.setdefault(tag, []).append(len(self._open) - 1)
+        if not inline:
+            self._blocks.append(len(self._open) - 1)
+            self._head = tag in _HEADINGS
+        elif not (marked or dropped):
+            # an inline element is no region: its lines are those of the block round it
+            self._open[-1] = len(self.parent)
+        self.parent.append(outer)
+        self.name.append(tag)
+        self.marked.append(marked and not dropped)
+        self.dropped.append(dropped)
+        self.in_main.append(self.in_main[outer] or main and not dropped)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _VOID:
             return
-        if tag not in _INLINE:
-            self.flush()
-        self._tags += 1
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] == tag:
-                del self._open[k:]
-                return
-            if tag in _INLINE and self._open[k][0] not in _INLINE:
-                return
+        inline = tag in _INLINE
+        if not inline:
+            self._flush()
+        self._tag += 1
+        at = self._at.get(tag)
+        if at and (not inline or at[-1] > self._blocks[-1]):
+            self._pop(at[-1])
 
-    def handle_data(self, data: str) -> None:
-        if self._open and self._open[-1][0] in ("script", "style"):
-            return
-        self._text.append(data)
-        if any(name == "a" for name, _, _ in self._open[-3:]):
-            self._linked += len(data.strip())
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)  # a slash ends no element in html
 
-    def finish(self) -> None:
-        self.close()
-        self.flush()
+    def handle_data(self, data: str) -> None:
+        self._part.append(data)
+        if self._at.get("a"):
+            self._link += len(data.strip())
 
 
 def content_lines(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -148,53 +248,75 @@ def content_lines(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
-def _holding(page: Lines, weight: dict[int, int], content: np.ndarray) -> set[int]:
-    """Marked elements that hold the page's content, so that their names do not count."""
-    total, mains = sum(weight.values()), set(page.mains)
-    held: dict[int, int] = {}
-    told: dict[int, int] = {}
-    articles: dict[int, int] = {}
-    every = 0
-    for k, w in weight.items():
-        inside = page.lines[k][2]
-        article = bool(w) and not mains.isdisjoint(inside)
-        every += article
-        for n in page.named.intersection(inside):
-            held[n] = held.get(n, 0) + w
-            told[n] = told.get(n, 0) + int(w > 0 and content[k])
-            articles[n] = articles.get(n, 0) + article
-    return {n for n in held if 10 * held[n] >= 7 * total and told[n] > 1 and articles[n] == every}
+def _sums(parent: np.ndarray, element: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the lines' values in each element, those inside it included."""
+    out = np.bincount(element, weights=values, minlength=len(parent))
+    for k in range(len(parent) - 1, 0, -1):
+        out[parent[k]] += out[k]
+    return out
 
 
 def main_text(html: str | None) -> str:
     """Blocks of the main text joined by a blank line; empty if there are none."""
     page = Lines()
-    page.feed(html or "")
-    page.finish()
-    lines = page.lines
-    content = content_lines(np.array([len(x[0]) / x[1] for x in lines])) if lines else []
-    weight = {k: len(x[0]) * (4 if content[k] else 1) * (0 if 2 * x[4] > len(x[0]) else 1) for k, x in enumerate(lines) if not x[3]}
-    named = page.named - _holding(page, weight, content) if page.named else page.named
-    usable = [k for k in weight if named.isdisjoint(lines[k][2])]
-    weight = {k: weight[k] for k in usable}
-    if not usable:
+    page.read(html or "")
+    if not page.text:
+        return ""
+    parent, element = np.array(page.parent), np.array(page.element)
+    size = np.array([len(x) for x in page.text], float)
+    free = np.maximum(size - page.linked, 0.0)
+    unlinked = 2 * np.array(page.linked) <= size
+    marks = np.zeros(len(parent), np.int64)
+    for k in range(1, len(parent)):
+        marks[k] = marks[parent[k]] + page.marked[k]
+    usable = ~np.array(page.dropped)[element]
+    if not usable.any():
         return ""
-    held: dict[int, int] = {}
-    for k in usable:
-        for n in lines[k][2]:
-            held[n] = held.get(n, 0) + weight[k]
-    total = sum(weight.values())
-    # the innermost article or main element of every line with weight: an outer one counts for text of its own only
-    mains, marked = set(page.mains), {}
-    for k in usable:
-        inner = max(mains.intersection(lines[k][2]), default=None)
-        if weight[k] and inner is not None:
-            marked[inner] = marked.get(inner, 0) + weight[k]
-    kept = {k for k in usable if not marked.keys().isdisjoint(lines[k][2])}
-    if 10 * sum(marked.values()) < 7 * total or not marked:
-        region = max((n for n in held if 10 * held[n] >= 7 * total), default=None)
-        kept.update(k for k in usable if weight[k] and (region is None or region in lines[k][2]))
-    return "\n\n".join(lines[k][0] for k in sorted(kept))
+    seen = np.flatnonzero(usable)
+    content = np.zeros(len(size), bool)
+    content[seen] = content_lines(np.log1p(free / page.tags / MARKED ** np.minimum(marks[element], 8))[seen])
+    content &= unlinked
+    weight = np.where(content, free, 0.0)
+    told = _sums(parent, element, weight)
+    if not told[0]:
+        return ""
+    lines = _sums(parent, element, content.astype(float))
+    # marked elements without most of the content go with all that is in them
+    gone = np.zeros(len(parent), bool)
+    for k in range(1, len(parent)):
+        gone[k] = gone[parent[k]] or page.marked[k] and (told[k] < SPARED * told[0] or lines[k] < 2)
+    usable &= ~gone[element]
+    weight = np.where(usable, weight, 0.0)
+    told = _sums(parent, element, weight)
+    if not told[0]:
+        return ""
+    region = int(np.flatnonzero(told >= REGION * told[0])[-1])
+    heading = np.array(page.heading)
+    kept = usable & unlinked
+    every = _sums(parent, element, np.where(kept, size, 0.0))
+    good = _sums(parent, element, np.where(kept & (content | heading), size, 0.0))
+    body = {0, *(k for k, name in enumerate(page.name) if name in ("html", "body"))}
+    while region not in body:
+        outer = int(parent[region])
+        added, fine = every[outer] - every[region], good[outer] - good[region]
+        closed = page.name[region] in _MAIN and told[outer] == told[region]
+        if closed or outer in body and told[outer] == told[region] and page.in_main[region]:
+            break
+        if added - fine > max((MAIN_SLACK if page.in_main[outer] else SLACK) * every[region], fine):
+            break
+        region = outer
+    inside = np.zeros(len(parent), bool)
+    inside[region] = True
+    for k in range(region + 1, len(parent)):
+        inside[k] = inside[parent[k]]
+    kept &= inside[element]
+    if region in body:
+        sure = np.flatnonzero(kept & (content & (3 * free >= np.median(free[content & usable])) | heading))
+        between = np.zeros(len(size), bool)
+        between[sure[0] : sure[-1] + 1] = True
+        loose = np.array([k in body or p in body for k, p in enumerate(page.parent)]) & ~np.array(page.in_main)
+        kept &= between | ~loose[element]
+    return "\n\n".join(page.text[k] for k in np.flatnonzero(kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +334,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Returns one row per input row: page_id, url, text, n_chars (code points). Text
     is empty for null, empty or text-free html. White space inside a block is one
-    space. Repeated rows are separate rows; an empty table gives an empty result;
-    other columns are ignored, whatever their names. The whole html is parsed.
+    space. Repeated rows are separate rows with the same text; an empty table gives
+    an empty result; null ids and urls stay null; other columns are ignored,
+    whatever their names. The whole html is parsed, in time and memory in proportion
+    to its length.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]

@@ -4,6 +4,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -398,3 +399,59 @@ print(peak() - before)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     assert int(out.stdout) < 60
+
+
+def test_html_templates():
+    """Hand-labelled pages: every sentence of the story and the title, and nothing of what stands round it."""
+    story = "".join(
+        f"<p>{s}</p>" for s in (
+            "The river had risen for three days before anyone in the lower town took notice of it.", "By Friday the bakery on the corner kept its flour on the second shelf, and sandbags lay at the door.",
+            "Nobody slept much.", "When the water came at last, it came quietly, through the drains and the cellar windows.", "The old men said that it had been worse in their fathers' time.",
+        )
+    )
+    side = '<div class="sidebar"><h3>Popular</h3><ul><li><a href=1>One story of note</a></li></ul><p>Subscribe to our weekly letter and read more.</p></div>'
+    nav, foot = "<nav><a href=/>Home</a> <a href=/n>News</a></nav>", "<footer><p>Copyright 2024 The Paper. All rights reserved by the owner of it.</p></footer>"
+    thread = "".join(f"<div class=comment><p>I was there in {y}, and it was nothing like what you write about the river at all.</p></div>" for y in range(1990, 2000))
+    thread = f'<section id="comments"><h3>Comments</h3>{thread}</section>'
+    pages = {
+        "states": f'{nav}<article class="post has-comments"><h1>Flood</h1>{story}</article>{thread}{foot}',
+        "compound": f'{nav}<main class="layout-no-sidebar"><h1>Flood</h1>{story}</main>{side}{foot}',
+        "form": f"<form action=x><div>{nav}<div id=c><h1>Flood</h1>{story}</div>{side}{foot}</div></form>",
+        "header": f'<header class="site-header"><p>The Paper of the town</p>{nav}</header><article><header><h1>Flood</h1><p>By A. Writer</p></header>{story}</article>{thread}{foot}',
+        "siblings": f"{nav}<article><h1>Flood</h1>{story}</article><article><h2>Second</h2><p>Another report that is shorter, of the same week and town.</p></article>{foot}",
+        "bare": f"{nav}<h1>Flood</h1>{story}<p>Follow us on</p><p>All rights reserved</p>",
+        "divs": f"<div id=top>{nav}</div><div id=wrap><div id=left>{side}</div><div id=content><h1>Flood</h1><div class=meta>4 May</div><div class=text>{story}</div>{thread}</div></div><div id=footer>Imprint and terms of use</div>",
+        "table": f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><h1>Flood</h1>{story}</td></tr></table>",
+        "inside": f"<article><h1>Flood</h1>{story}{thread}</article>",
+        "cookies": f'<div class="cookie-banner"><p>We use cookies to make this site better for you and for our partners, as the law says.</p></div><div class=post><h1>Flood</h1>{story}</div>',
+        "wrapper": f'<div class="newsletter"><h1>Flood</h1>{story}</div>',
+    }
+    for name, page in pages.items():
+        text = html_text.main_text(f"<html><body>{page}</body></html>")
+        assert all(s in text for s in ("Flood", "The river had", "By Friday", "Nobody slept", "When the water", "The old men")), name
+        assert not any(s in text for s in ("Home", "Popular", "Subscribe", "Copyright", "I was there", "Imprint", "cookies", "Follow", "All rights", "The Paper of", "One story")), name
+        assert name != "siblings" or "Another report" in text
+
+
+def test_html_lines_are_chosen_by_their_ratios(monkeypatch):
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+    usual, told = [html_text.main_text(x) for x in pages], html_text.content_lines
+    monkeypatch.setattr(html_text, "content_lines", lambda ratios: ~told(ratios))
+    assert sum(html_text.main_text(x) != y for x, y in zip(pages, usual, strict=True)) > 0.8 * len(pages)
+
+
+def test_html_of_hostile_markup_takes_linear_time():
+    n = 1 << 20
+    for piece in ('<a b="', "<!--", "<div>", "<b>", "<p>", "</", "<script>", "<", '<a b="x>', "&", "<b></i>", "<x ", "<li><b>", "<a href='x="):
+        start = time.monotonic()
+        html_text.main_text(piece * (n // len(piece)) + ">")
+        assert time.monotonic() - start < 5, piece
+
+
+def test_html_table(spark):
+    article = "<body><article><h1>A &amp; B</h1><p>One\n  two</p></article><footer>x</footer>"
+    rows = [(1, "u", article, "a", "b"), (1, "u", article, "a", "b"), (None, None, None, None, None), (3, "u", "", "", ""), (4, None, "<p>" + "word " * 200_000 + "</p>", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars string").repartition(3)
+    got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect())
+    assert got == Counter([(1, "u", "A & B\n\nOne two", 14)] * 2 + [(None, None, "", 0), (3, "u", "", 0), (4, None, ("word " * 200_000).strip(), 999_999)])
+    assert html_text.extract(pages.limit(0)).count() == 0
