@@ -22,7 +22,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is not among ``ids``; those with a null id stay."""
-    gone = scratch.counted(ids.select("doc_id").distinct(), "gone")
+    gone = scratch.written(ids.select("doc_id").distinct(), "gone")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
