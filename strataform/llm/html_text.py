@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm import words as W
+
 # fixed values: element names, and words in class, id and role that mark boilerplate
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -341,4 +343,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return rows.mapInArrow(_extract, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
+    return W.over(rows, _extract, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")

@@ -150,7 +150,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
             share = F.when(known, limit) if share is None else share.when(known, limit)
     if share is not None:
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share.otherwise(F.lit(1 << 30)))
-    counts = rows.select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = W.over(rows.select("lang", "text"), _counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= length)
     profiles: dict[str, list[int]] = {}
     for r in sorted(ranked.select("lang", "rank", "gram").collect()):
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *, id_col: str = "d
     key = F.col(id_col).alias("doc_id")
     rows = docs.select(key) if inside else docs.select(key, F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_compare(profiles, length, inside), f"doc_id {kind}, lang_pred string, score double")
+    return W.over(rows, _compare(profiles, length, inside), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -13,10 +13,19 @@
    are confirmed on the full shingle sets. Confirmed links make components.
 5. A hub with all that met it in some bucket is a family. Families that still
    hold several components get the pairs *between* those components compared on
-   their full sets, in blocks, so a link that does not pass through a hub is found
-   as well. A block gives only links that join two components. Nothing is capped.
-
-A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
+   their full sets, so a link that does not pass through a hub is found as well. A
+   family of more than ``FAMILY`` documents or ``SHINGLES`` shingles is banded
+   again, up to ``DEPTH`` times, each time by the bands after the last one: what
+   agrees by chance or by a shared template falls apart, near-duplicates stay
+   together. What is still too large then is compared in blocks. A comparison
+   gives only links that join two components. Nothing is capped.
+
+No task gathers a hub, a node or a family: their rows are dealt out in shares, and
+what is known of the hub goes to each share that has rows.
+
+A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8, and
+fewer than three with 1.2e-5: so much is missed of pairs that only families banded
+three times hold.
 """
 
 from __future__ import annotations
@@ -32,7 +41,10 @@ from strataform.llm import scratch, words as W
 
 REGISTERS, ROWS_PER_BAND, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
-BLOCK = 256
+#: Documents and shingles of a family that one task compares, and how often a larger one is banded again.
+FAMILY, SHINGLES, DEPTH = 256, 1 << 20, 3
+#: Rows of a hub, or of a node, in one share, in expectation; shares of a node of the links.
+SHARE, SHARES = 1024, 64
 #: Estimates have a deviation of 0.036 at 0.8; below this margin a pair is not worth confirming.
 MARGIN = 0.2
 
@@ -160,23 +172,44 @@ def _sketches(k: int, fold: bool):
     return run
 
 
+BANDS = REGISTERS // ROWS_PER_BAND
+_WHICH = W.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def _band_keys(column: pa.Array) -> np.ndarray:
+    packed = np.ascontiguousarray(_registers(column)).view(np.uint64)  # 4 registers of 16 bits
+    return W.mix(packed ^ _WHICH[None, :])
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bands = REGISTERS // ROWS_PER_BAND
-    which = W.mix(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
-        packed = np.ascontiguousarray(_registers(batch.column(1))).view(np.uint64)  # 4 registers of 16 bits
-        keys = W.mix(packed ^ which[None, :]).view(np.int64)
-        ids = np.repeat(np.arange(len(batch)), bands)
+        keys = _band_keys(batch.column(1)).view(np.int64)
+        ids = np.repeat(np.arange(len(batch)), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(ids))], ["band", "id"])
 
 
+def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of a family for each band after its last one: group, id, component, shingles, share, last, sketch."""
+    for batch in batches:
+        for at in range(0, len(batch), W.ROWS):
+            part = batch.slice(at, W.ROWS)
+            group, last = part.column(0).to_numpy().view(np.uint64), part.column(5).to_numpy()
+            row, band = np.nonzero(np.arange(BANDS)[None, :] > last[:, None])
+            keys = W.mix(group[row] ^ W.mix(_band_keys(part.column(6))[row, band]))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), *(part.column(k).take(take) for k in range(1, 5)), pa.array(band.astype(np.int32))],
+                ["group", "id", "component", "n_shingles", "share", "last"],
+            )
+
+
 def _likely(least: float):
     rate = collision_rate()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = jaccard_estimate(_registers(batch.column(2)), _registers(batch.column(3)), rate) >= least
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1, 4]).filter(pa.array(keep))
 
     return run
 
@@ -213,7 +246,7 @@ def _linked(similarity: tuple[int, int]):
 
 
 def _across(least: float, similarity: tuple[int, int]):
-    """Confirmed links between components of one block pair of a family; only those that join two components."""
+    """Confirmed links between components of a family, or of two blocks of it; only those that join two components."""
     rate, (top, bottom) = collision_rate(), similarity
 
     def run(table: pa.Table) -> pa.Table:
@@ -234,7 +267,7 @@ def _across(least: float, similarity: tuple[int, int]):
         links = []
         right_all = np.flatnonzero(home == high)
         for i in np.flatnonzero(home == low):
-            right = right_all[component[right_all] != component[i]]
+            right = right_all[(component[right_all] != component[i]) & ((low != high) | (right_all > i))]
             right = right[bottom * np.minimum(size[right], size[i]) >= top * np.maximum(size[right], size[i])]
             right = right[jaccard_estimate(registers[right], registers[i], rate) >= least]
             if not len(right):
@@ -253,20 +286,26 @@ def _across(least: float, similarity: tuple[int, int]):
     return run
 
 
+def _beside(rows: DataFrame, data: DataFrame, key: str, places: DataFrame | None = None) -> DataFrame:
+    """Rows with the one row of data of their key, which goes to each share of the key that has rows (those of ``places``)."""
+    return rows.join((places or rows).select(key, "share").distinct().join(data, key), [key, "share"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of every linked id, by alternating large and small stars.
 
     links: columns a, b of linked ids, in any order and number. Returns id, component.
     Each round is a written table, so lineage stays short; rounds grow with the
-    logarithm of the longest chain. No round gathers a component in one task.
+    logarithm of the longest chain. No round gathers a component, or the links of
+    one node, in one task.
     """
     spark = links.sparkSession
     edges = scratch.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        centre = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(centre, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int").alias("share"))
+        centre = edges.unionAll(up.select("a", "b")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = _beside(up, centre, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = scratch.written(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
@@ -276,6 +315,46 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _share(n: str):
+    return F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / SHARE)).cast("int").alias("share")
+
+
+def _late_links(rows: DataFrame, heads: DataFrame, sets: DataFrame, least: float, similarity: tuple[int, int]) -> list[DataFrame]:
+    """Links between components of the same family, by families that fall apart until one task can compare them.
+
+    rows: group, id, component, n_shingles, share, last.
+    """
+    own, found = ["group", "id", "component", "n_shingles"], []
+    for depth in range(DEPTH + 1):
+        told = rows.groupBy("group").agg(
+            F.count("*").alias("n"), F.sum("n_shingles").alias("all"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"),
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.first("last").alias("last"),
+        ).filter("c0 < c1 AND n > 1")
+        # of groups of the same documents one is looked at, that of the earliest band
+        once = told.groupBy("n", "all", "print").agg(F.min(F.struct("last", "group")).alias("one")).select(F.col("one.group").alias("group"), "n", "all")
+        live = scratch.written(_beside(rows, once, "group").select(*own, "n", "all", "last"), f"families-{depth}")
+        if live.isEmpty():
+            break
+        fits = F.col("n").between(0, FAMILY) & (F.col("all") <= SHINGLES)
+        blocks = F.when(fits, 1).otherwise(F.ceil(F.greatest(F.col("n") / FAMILY, F.col("all") / SHINGLES)))
+        now = live if depth == DEPTH else live.filter(fits)
+        dealt = (
+            now.withColumn("blocks", blocks.cast("int"))
+            .withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .join(heads.select("id", "sketch"), "id")
+            .join(sets, "id")
+            .select("group", "id", "component", "home", "sketch", "shingles", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
+        )
+        found.append(scratch.written(dealt.groupBy("group", "low", "high").applyInArrow(_across(least, similarity), "a bigint, b bigint"), f"late-links-{depth}"))
+        large = live.filter(~fits)
+        if depth == DEPTH or large.isEmpty():
+            break
+        again = large.select(*own, _share("n"), "last").join(heads.select("id", "sketch"), "id").select(*own, "share", "last", "sketch")
+        rows = scratch.written(W.over(again, _narrower, "group bigint, id bigint, component bigint, n_shingles bigint, share int, last int"), f"narrower-{depth}")
+    return found
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -302,7 +381,7 @@ def near_duplicates(
     least = top / bottom - MARGIN
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = scratch.written(
-        rows.mapInArrow(_sketches(shingle_words, fold_case), "id bigint, n_shingles bigint, print1 bigint, print2 bigint, sketch binary"), "sketches"
+        W.over(rows, _sketches(shingle_words, fold_case), "id bigint, n_shingles bigint, print1 bigint, print2 bigint, sketch binary"), "sketches"
     )
     full = base.filter("n_shingles > 0 AND id IS NOT NULL")
     same = ["print1", "print2", "n_shingles"]
@@ -310,41 +389,36 @@ def near_duplicates(
     classes = scratch.written(full.groupBy(*same).agg(F.min("id").alias("head"), F.max("id").alias("far")).filter("head < far").select(*same, "head"), "classes")
     named = scratch.written(full.select("id", *same).join(classes, same, "left").select("id", F.coalesce("head", "id").alias("head")), "heads-of")
     heads = scratch.written(
-        base.join(named.filter("id = head").select("id").distinct(), "id", "left_semi").select("id", "sketch").dropDuplicates(["id"]), "heads"
+        base.join(named.filter("id = head").select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "sketch").dropDuplicates(["id"]), "heads"
     )
 
-    banded = heads.mapInArrow(_bands, "band bigint, id bigint")
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub < far").select("band", "hub")
-    met = scratch.written(banded.join(hubs, "band").filter("id <> hub").select("hub", "id").distinct(), "met")
+    banded = W.over(heads.select("id", "sketch"), _bands, "band bigint, id bigint")
+    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count("*").alias("n")).filter("hub < far")
+    hubs = scratch.written(hubs.select("band", "hub", "n"), "hubs")  # written first, as above
+    met = banded.join(hubs, "band").filter("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n"))
+    met = scratch.written(met.select("hub", "id", _share("n")), "met")
 
     one = heads.select(F.col("id").alias("hub"), F.col("sketch").alias("sketch_a"))
-    likely = met.join(heads, "id").join(one, "hub").select("hub", "id", "sketch_a", "sketch").mapInArrow(_likely(least), "hub bigint, id bigint")
-    ids = scratch.counted(met.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), "compared")
-    sets = scratch.written(
-        rows.join(ids, "id", "left_semi").mapInArrow(_sets(shingle_words, fold_case), "id bigint, shingles binary").dropDuplicates(["id"]), "sets"
-    )
+    likely = _beside(met.join(heads, "id"), one, "hub", met).select("hub", "id", "sketch_a", "sketch", "share")
+    likely = scratch.written(W.over(likely, _likely(least), "hub bigint, id bigint, share int"), "likely")
+    # one path at every size: the texts are dealt out by id, and those of compared ids go on
+    ids = met.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
+    texts = rows.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    sets = scratch.written(W.over(texts, _sets(shingle_words, fold_case), "id bigint, shingles binary"), "sets")
     one = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("set_a"))
-    confirmed = likely.join(sets, "id").join(one, "hub").select("hub", "id", "set_a", "shingles").mapInArrow(_linked(similarity), "hub bigint, id bigint")
+    confirmed = W.over(_beside(likely.join(sets, "id"), one, "hub", likely).select("hub", "id", "set_a", "shingles"), _linked(similarity), "hub bigint, id bigint")
     links = scratch.written(confirmed.select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
     found = components(links)
 
-    # a family is a hub with all it met; only families in several components, none of them the hub's alone, are looked at again
-    family = met.unionAll(met.select("hub", F.col("hub").alias("id")).distinct())
-    placed = family.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("hub").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1 AND size > 2")
-    rest = scratch.written(placed.join(mixed.select("hub", "size"), "hub"), "mixed")
-    if not rest.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = (
-            rest.withColumn("home", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .join(heads, "id")
-            .join(sets, "id")
-            .select("hub", "id", "component", "home", "sketch", "shingles", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
-        )
-        late = scratch.written(dealt.groupBy("hub", "low", "high").applyInArrow(_across(least, similarity), "a bigint, b bigint"), "late-links")
-        if not late.isEmpty():
-            found = components(links.unionAll(late))
+    # a family is a hub with all it met; only families in several components are looked at again
+    family = met.unionAll(met.select("hub", F.col("hub").alias("id"), F.lit(0).alias("share")).distinct())
+    placed = family.join(found, "id", "left").join(heads.select("id", "n_shingles"), "id")
+    placed = placed.select(F.col("hub").alias("group"), "id", F.coalesce("component", "id").alias("component"), "n_shingles", "share", F.lit(-1).alias("last"))
+    late = _late_links(scratch.written(placed, "families"), heads, sets, least, similarity)
+    if late and not all(x.isEmpty() for x in late):
+        for x in late:
+            links = links.unionAll(x)
+        found = components(links)
 
     labelled = named.join(found.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("component")).distinct()
     return base.select("id", "n_shingles").join(labelled, "id", "left").select(

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataform.llm import scratch
+from strataform.llm import words as W
 
 #: Bounds of the fitted sample: rows, numbers in all, and its share of a small table, so that no table is its own sample.
 SAMPLE_ROWS, SAMPLE_VALUES, SAMPLE_SHARE = 20_000, 4_000_000, 4
@@ -210,10 +211,10 @@ def search(
         drawn = rows.orderBy("id").limit(1).toArrow()
     index = Index(drawn["id"].to_numpy(), _matrix(drawn["vector"].combine_chunks(), dim), n, k)
 
-    listed = scratch.written(rows.mapInArrow(_assign(index), "list int, id bigint, vector array<float>"), "listed")
+    listed = scratch.written(W.over(rows, _assign(index), "list int, id bigint, vector array<float>"), "listed")
     sizes = {r[0]: r[1] for r in listed.groupBy("list").count().collect()}  # at most as many as centroids
     asked = scratch.written(
-        rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(_prepare(index, k), "query_id bigint, vector array<float>, bound double, lists array<int>"),
+        W.over(rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]), _prepare(index, k), "query_id bigint, vector array<float>, bound double, lists array<int>"),
         "queries",
     )
     shares = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / SHARE))) for c in range(len(index.centroids))])

@@ -11,10 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows of one integer that are broadcast at most: 8 MB.
-FEW = 1_000_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,12 +31,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def counted(ids: DataFrame, name: str) -> DataFrame:
-    """One column of integers as a written table, to be broadcast if it has at most ``FEW`` rows, and shuffled beyond."""
-    table = written(ids, name)
-    return F.broadcast(table) if table.count() <= FEW else table
-
-
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table; call it once no result that reads them is needed."""
     jvm = spark.sparkContext._jvm

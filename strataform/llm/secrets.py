@@ -218,4 +218,4 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, top_score double"
-    return rows.mapInArrow(_scan(model or Model()), schema)
+    return W.over(rows, _scan(model or Model()), schema)

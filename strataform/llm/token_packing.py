@@ -155,7 +155,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_ids array<bigint>, doc_offsets array<bigint>, cu_seqlens array<int>, position_resets array<int>, n_tokens int, ids binary"
-    return rows.mapInArrow(_pack(vocabulary, length, pool), schema)
+    return W.over(rows, _pack(vocabulary, length, pool), schema)
 
 
 def write(packed: DataFrame, path: str) -> None:

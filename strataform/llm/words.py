@@ -13,10 +13,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK = 1 << 20
 ROWS = 4096
 
+_LIMIT, _SPARKS_OWN, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 #: Bytes between words: tab to carriage return, and space.
@@ -67,6 +70,14 @@ def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.nd
     return mix((_sums(values, end, table) - _sums(values, start, table)) * inverse + (end - start).astype(np.uint64))
 
 
+def over(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of about ``BATCH`` bytes: a session with Spark's own limit, 64 MB, gets this one."""
+    conf = rows.sparkSession.conf
+    if conf.get(_LIMIT) == _SPARKS_OWN:
+        conf.set(_LIMIT, str(BATCH))
+    return rows.mapInArrow(run, schema)
+
+
 class Words(NamedTuple):
     """Words of one chunk. ``row`` counts from 0 within the chunk; ``first`` is each row's first word, with an end mark."""
 

@@ -455,3 +455,46 @@ def test_html_table(spark):
     got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect())
     assert got == Counter([(1, "u", "A & B\n\nOne two", 14)] * 2 + [(None, None, "", 0), (3, "u", "", 0), (4, None, ("word " * 200_000).strip(), 999_999)])
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def components_of(links, ids):
+    owner = {k: k for k in ids}
+
+    def find(x):
+        while owner[x] != x:
+            x = owner[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        owner[max(x, y)] = min(x, y)
+    return {k: find(k) for k in ids}
+
+
+@pytest.mark.parametrize(("family", "depth"), [(2, 3), (2, 0), (64, 2)])
+def test_crowded_families_are_banded_again(spark, monkeypatch, family, depth):
+    """Documents of one template share buckets, unlike as they are; chains run through them."""
+    monkeypatch.setattr(near_dedup, "FAMILY", family)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    r = random.Random(9)
+    template = [f"t{k}" for k in range(120)]
+    texts = {}
+    for k in range(0, 400, 4):
+        own = [f"w{k}x{j}" for j in range(100)]
+        for step in range(4):  # each near the last, the first and the fourth apart
+            texts[k + step] = template + own
+            at = r.randrange(80)
+            own = own[:at] + [f"v{k}y{step}z{j}" for j in range(12)] + own[at + 12 :]
+    sets = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, w in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(links, sets)
+    assert len(links) > 250 and 90 < len(set(want.values())) < 250
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, shingle_words=4).collect()} == want
+
+
+def test_many_unlike_documents_of_one_template(spark):
+    text = F.concat_ws(" ", F.lit(" ".join(f"t{k}" for k in range(60))), F.expr("array_join(transform(sequence(0, 59), j -> concat('w', id - pmod(id, 5) * CAST(id < 100 AS int), 'x', j)), ' ')"))
+    docs = spark.range(20_000).repartition(8).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = near_dedup.near_duplicates(docs).filter("doc_id <> component_id")
+    assert {(x.doc_id, x.component_id) for x in got.collect()} == {(k, k - k % 5) for k in range(100) if k % 5}
