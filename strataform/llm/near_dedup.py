@@ -13,11 +13,13 @@
    are confirmed on the full shingle sets. Confirmed links make components.
 5. A hub with all that met it in some bucket is a family. Families that still
    hold several components get the pairs *between* those components compared on
-   their full sets, so a link that does not pass through a hub is found as well. A
-   family of more than ``FAMILY`` documents or ``SHINGLES`` shingles is banded
-   again, up to ``DEPTH`` times, each time by the bands after the last one: what
-   agrees by chance or by a shared template falls apart, near-duplicates stay
-   together. What is still too large then is compared in blocks. A comparison
+   their full sets, so a link that does not pass through a hub is found as well. If
+   all but the largest component are at most ``FAMILY`` documents and ``SHINGLES``
+   shingles, that component is cut into blocks and the rest goes to each. Other
+   families are banded again, up to ``DEPTH`` times, each time by the bands after
+   the last one: what agrees by chance or by a shared template falls apart,
+   near-duplicates stay together. A family whose parts would be more work than
+   itself, and what is left in the end, is compared block by block. A comparison
    gives only links that join two components. Nothing is capped.
 
 No task gathers a hub, a node or a family: their rows are dealt out in shares, and
@@ -42,7 +44,7 @@ from strataform.llm import scratch, words as W
 REGISTERS, ROWS_PER_BAND, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
 #: Documents and shingles of a family that one task compares, and how often a larger one is banded again.
-FAMILY, SHINGLES, DEPTH = 256, 1 << 20, 3
+FAMILY, SHINGLES, DEPTH = 512, 1 << 20, 3
 #: Rows of a hub, or of a node, in one share, in expectation; shares of a node of the links.
 SHARE, SHARES = 1024, 64
 #: Estimates have a deviation of 0.036 at 0.8; below this margin a pair is not worth confirming.
@@ -189,17 +191,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of a family for each band after its last one: group, id, component, shingles, share, last, sketch."""
+    """A row of a family (parent, id, component, n_shingles, share, parent_n, last, sketch) for each band after its last one."""
     for batch in batches:
         for at in range(0, len(batch), W.ROWS):
             part = batch.slice(at, W.ROWS)
-            group, last = part.column(0).to_numpy().view(np.uint64), part.column(5).to_numpy()
+            parent, last = part.column(0).to_numpy().view(np.uint64), part.column(6).to_numpy()
             row, band = np.nonzero(np.arange(BANDS)[None, :] > last[:, None])
-            keys = W.mix(group[row] ^ W.mix(_band_keys(part.column(6))[row, band]))
+            keys = W.mix(parent[row] ^ W.mix(_band_keys(part.column(7))[row, band]))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), *(part.column(k).take(take) for k in range(1, 5)), pa.array(band.astype(np.int32))],
-                ["group", "id", "component", "n_shingles", "share", "last"],
+                [pa.array(keys.view(np.int64)), *(part.column(k).take(take) for k in range(6)), pa.array(band.astype(np.int32))],
+                ["group", *part.schema.names[:6], "last"],
             )
 
 
@@ -246,12 +248,12 @@ def _linked(similarity: tuple[int, int]):
 
 
 def _across(least: float, similarity: tuple[int, int]):
-    """Confirmed links between components of a family, or of two blocks of it; only those that join two components."""
+    """Confirmed links of a block: side 0 with side 1, and with itself if ``own``; only those that join two components."""
     rate, (top, bottom) = collision_rate(), similarity
 
     def run(table: pa.Table) -> pa.Table:
-        ids, component, home = (table[c].to_numpy() for c in ("id", "component", "home"))
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        ids, component, side = (table[c].to_numpy() for c in ("id", "component", "side"))
+        own_too = table["own"][0].as_py()
         registers = _registers(table["sketch"].combine_chunks())
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
         size = np.array([len(x) for x in sets])
@@ -265,9 +267,9 @@ def _across(least: float, similarity: tuple[int, int]):
             return x
 
         links = []
-        right_all = np.flatnonzero(home == high)
-        for i in np.flatnonzero(home == low):
-            right = right_all[(component[right_all] != component[i]) & ((low != high) | (right_all > i))]
+        place = np.arange(len(ids))
+        for i in np.flatnonzero(side == 0):
+            right = place[(component != component[i]) & ((side == 1) | (own_too & (place > i)))]
             right = right[bottom * np.minimum(size[right], size[i]) >= top * np.maximum(size[right], size[i])]
             right = right[jaccard_estimate(registers[right], registers[i], rate) >= least]
             if not len(right):
@@ -322,36 +324,59 @@ def _share(n: str):
 def _late_links(rows: DataFrame, heads: DataFrame, sets: DataFrame, least: float, similarity: tuple[int, int]) -> list[DataFrame]:
     """Links between components of the same family, by families that fall apart until one task can compare them.
 
-    rows: group, id, component, n_shingles, share, last.
+    rows: group, parent, id, component, n_shingles, share, parent_n, last.
     """
-    own, found = ["group", "id", "component", "n_shingles"], []
+    own, found, before = ["group", "id", "component", "n_shingles"], [], None
+
+    def compare(dealt: DataFrame, name: str) -> None:
+        full = dealt.join(heads.select("id", "sketch"), "id").join(sets, "id").select("group", "low", "high", "id", "component", "side", "own", "sketch", "shingles")
+        found.append(scratch.written(full.groupBy("group", "low", "high").applyInArrow(_across(least, similarity), "a bigint, b bigint"), name))
+
+    def in_blocks(families: DataFrame, name: str) -> None:
+        blocks = F.ceil(F.greatest(F.col("n") / FAMILY, F.col("all") / SHINGLES)).cast("int")
+        dealt = families.withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        low, high = F.least("home", "other"), F.greatest("home", "other")
+        compare(dealt.select(*own, low.alias("low"), high.alias("high"), (F.col("home") > F.col("other")).cast("int").alias("side"), (low == high).alias("own")), name)
+
     for depth in range(DEPTH + 1):
-        told = rows.groupBy("group").agg(
-            F.count("*").alias("n"), F.sum("n_shingles").alias("all"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"),
-            F.min("component").alias("c0"), F.max("component").alias("c1"), F.first("last").alias("last"),
-        ).filter("c0 < c1 AND n > 1")
+        of = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
+        told = (
+            rows.groupBy("group", "component")
+            .agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"), of.alias("print"), F.first("last").alias("last"), F.first("parent").alias("parent"), F.first("parent_n").alias("parent_n"))
+            .groupBy("group")
+            .agg(
+                F.count("*").alias("components"), F.sum("c").alias("n"), F.sum("s").alias("all"), F.sum("print").alias("print"), F.max(F.struct("c", "s", "component")).alias("top"),
+                F.first("last").alias("last"), F.first("parent").alias("parent"), F.first("parent_n").alias("parent_n"),
+            )
+            .filter("components > 1")
+        )
         # of groups of the same documents one is looked at, that of the earliest band
-        once = told.groupBy("n", "all", "print").agg(F.min(F.struct("last", "group")).alias("one")).select(F.col("one.group").alias("group"), "n", "all")
-        live = scratch.written(_beside(rows, once, "group").select(*own, "n", "all", "last"), f"families-{depth}")
+        once = told.groupBy("n", "all", "print").agg(F.min(F.struct("last", "group", "top", "parent", "parent_n")).alias("one")).select("n", "all", "one.group", "one.top", "one.parent", "one.parent_n")
+        if before is not None:
+            once = scratch.written(once, f"told-{depth}")
+            stubborn = scratch.written(once.groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("work"), F.first("parent_n").alias("n")).filter("work >= n * n").select(F.col("parent").alias("group")), f"stubborn-{depth}")
+            if not stubborn.isEmpty():
+                in_blocks(_beside(before.select(*own, "n", "all", _share("n")), stubborn, "group"), f"stubborn-links-{depth}")
+                once = once.join(stubborn.withColumnRenamed("group", "parent"), "parent", "left_anti")
+        live = scratch.written(_beside(rows, once.select("group", "n", "all", "top"), "group").select(*own, "n", "all", "top", "last"), f"families-{depth}")
         if live.isEmpty():
             break
-        fits = F.col("n").between(0, FAMILY) & (F.col("all") <= SHINGLES)
-        blocks = F.when(fits, 1).otherwise(F.ceil(F.greatest(F.col("n") / FAMILY, F.col("all") / SHINGLES)))
-        now = live if depth == DEPTH else live.filter(fits)
-        dealt = (
-            now.withColumn("blocks", blocks.cast("int"))
-            .withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .join(heads.select("id", "sketch"), "id")
-            .join(sets, "id")
-            .select("group", "id", "component", "home", "sketch", "shingles", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
-        )
-        found.append(scratch.written(dealt.groupBy("group", "low", "high").applyInArrow(_across(least, similarity), "a bigint, b bigint"), f"late-links-{depth}"))
-        large = live.filter(~fits)
-        if depth == DEPTH or large.isEmpty():
+        fits = (F.col("n") - F.col("top.c") <= FAMILY) & (F.col("all") - F.col("top.s") <= SHINGLES)
+        blocks = F.ceil(F.greatest(F.col("top.c") / FAMILY, F.col("top.s") / SHINGLES)).cast("int")
+        in_top = F.col("component") == F.col("top.component")
+        places = F.when(in_top, F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        small = live.filter(fits).select(*own, in_top.cast("int").alias("side"), F.explode(places).alias("low"), F.lit(-1).alias("high"))
+        compare(small.withColumn("own", F.col("low") == 0), f"late-links-{depth}")
+        before = live.filter(~fits)
+        if before.isEmpty():
+            break
+        if depth == DEPTH:
+            in_blocks(before, "last-links")
             break
-        again = large.select(*own, _share("n"), "last").join(heads.select("id", "sketch"), "id").select(*own, "share", "last", "sketch")
-        rows = scratch.written(W.over(again, _narrower, "group bigint, id bigint, component bigint, n_shingles bigint, share int, last int"), f"narrower-{depth}")
+        again = before.select(F.col("group").alias("parent"), "id", "component", "n_shingles", _share("n"), F.col("n").alias("parent_n"), "last").join(heads.select("id", "sketch"), "id")
+        again = again.select("parent", "id", "component", "n_shingles", "share", "parent_n", "last", "sketch")
+        schema = "group bigint, parent bigint, id bigint, component bigint, n_shingles bigint, share int, parent_n bigint, last int"
+        rows = scratch.written(W.over(again, _narrower, schema), f"narrower-{depth}")
     return found
 
 
@@ -413,7 +438,9 @@ def near_duplicates(
     # a family is a hub with all it met; only families in several components are looked at again
     family = met.unionAll(met.select("hub", F.col("hub").alias("id"), F.lit(0).alias("share")).distinct())
     placed = family.join(found, "id", "left").join(heads.select("id", "n_shingles"), "id")
-    placed = placed.select(F.col("hub").alias("group"), "id", F.coalesce("component", "id").alias("component"), "n_shingles", "share", F.lit(-1).alias("last"))
+    placed = placed.select(
+        F.col("hub").alias("group"), F.lit(0).cast("bigint").alias("parent"), "id", F.coalesce("component", "id").alias("component"), "n_shingles", "share", F.lit(0).cast("bigint").alias("parent_n"), F.lit(-1).alias("last")
+    )
     late = _late_links(scratch.written(placed, "families"), heads, sets, least, similarity)
     if late and not all(x.isEmpty() for x in late):
         for x in late:
