@@ -44,7 +44,7 @@ from strataform.llm import scratch, words as W
 REGISTERS, ROWS_PER_BAND, MANTISSA = 128, 4, 10
 BUCKET_BITS = 7
 #: Documents and shingles of a family that one task compares, and how often a larger one is banded again.
-FAMILY, SHINGLES, DEPTH = 512, 1 << 20, 3
+FAMILY, SHINGLES, DEPTH = 2048, 1 << 20, 3
 #: Rows of a hub, or of a node, in one share, in expectation; shares of a node of the links.
 SHARE, SHARES = 1024, 64
 #: Estimates have a deviation of 0.036 at 0.8; below this margin a pair is not worth confirming.
@@ -301,20 +301,19 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain. No round gathers a component, or the links of
     one node, in one task.
     """
-    spark = links.sparkSession
     edges = scratch.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
     while True:
+        # done once every node has one smaller neighbour, which has none: read from the last round's table
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("small")).unionAll(edges.select("b", F.lit(0)).distinct())
+        if ends.groupBy("node").agg(F.sum("small").alias("small"), F.count("*").alias("n")).filter("small > 0 AND n > 1").isEmpty():
+            break
         up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int").alias("share"))
         centre = edges.unionAll(up.select("a", "b")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = _beside(up, centre, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _beside(up, centre, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = scratch.written(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return spark.createDataFrame([], "id bigint, component bigint") if not now[0] else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        state = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def _share(n: str):
@@ -413,9 +412,8 @@ def near_duplicates(
     # written first: joined straight from its aggregate, a class of very many copies could not be split over tasks
     classes = scratch.written(full.groupBy(*same).agg(F.min("id").alias("head"), F.max("id").alias("far")).filter("head < far").select(*same, "head"), "classes")
     named = scratch.written(full.select("id", *same).join(classes, same, "left").select("id", F.coalesce("head", "id").alias("head")), "heads-of")
-    heads = scratch.written(
-        base.join(named.filter("id = head").select("id").distinct(), "id", "left_semi").select("id", "n_shingles", "sketch").dropDuplicates(["id"]), "heads"
-    )
+    single = full.join(classes, same, "left").filter("head IS NULL OR head = id")
+    heads = scratch.written(single.select("id", "n_shingles", "sketch").dropDuplicates(["id"]), "heads")
 
     banded = W.over(heads.select("id", "sketch"), _bands, "band bigint, id bigint")
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count("*").alias("n")).filter("hub < far")
@@ -425,15 +423,14 @@ def near_duplicates(
 
     one = heads.select(F.col("id").alias("hub"), F.col("sketch").alias("sketch_a"))
     likely = _beside(met.join(heads, "id"), one, "hub", met).select("hub", "id", "sketch_a", "sketch", "share")
-    likely = scratch.written(W.over(likely, _likely(least), "hub bigint, id bigint, share int"), "likely")
+    likely = W.over(likely, _likely(least), "hub bigint, id bigint, share int")
     # one path at every size: the texts are dealt out by id, and those of compared ids go on
     ids = met.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     texts = rows.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     sets = scratch.written(W.over(texts, _sets(shingle_words, fold_case), "id bigint, shingles binary"), "sets")
     one = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("set_a"))
-    confirmed = W.over(_beside(likely.join(sets, "id"), one, "hub", likely).select("hub", "id", "set_a", "shingles"), _linked(similarity), "hub bigint, id bigint")
-    links = scratch.written(confirmed.select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
-    found = components(links)
+    confirmed = W.over(_beside(likely.join(sets, "id"), one, "hub", met).select("hub", "id", "set_a", "shingles"), _linked(similarity), "hub bigint, id bigint")
+    found = components(confirmed.select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
     # a family is a hub with all it met; only families in several components are looked at again
     family = met.unionAll(met.select("hub", F.col("hub").alias("id"), F.lit(0).alias("share")).distinct())
@@ -443,6 +440,7 @@ def near_duplicates(
     )
     late = _late_links(scratch.written(placed, "families"), heads, sets, least, similarity)
     if late and not all(x.isEmpty() for x in late):
+        links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
         for x in late:
             links = links.unionAll(x)
         found = components(links)
