@@ -498,3 +498,28 @@ def test_many_unlike_documents_of_one_template(spark):
     docs = spark.range(20_000).repartition(8).select(F.col("id").alias("doc_id"), text.alias("text"))
     got = near_dedup.near_duplicates(docs).filter("doc_id <> component_id")
     assert {(x.doc_id, x.component_id) for x in got.collect()} == {(k, k - k % 5) for k in range(100) if k % 5}
+
+
+def test_subtree_common_prefixes_equal_brute_force():
+    r = np.random.default_rng(3)
+    for window in (7, 8, 20):
+        codes = r.integers(0, 2, 400).astype(np.uint64) * np.uint64(1 << 39)
+        codes[200:260] = codes[40:100]
+        suffix = np.arange(len(codes) - window + 1)
+        tree = substring_dedup.Subtree(codes, suffix, window)
+        cut = [tuple(codes[s : s + window].tolist()) for s in suffix[tree.order]]
+        assert cut == sorted(cut)
+        common = [next((k for k in range(window) if a[k] != b[k]), window) for a, b in zip(cut, cut[1:], strict=False)]
+        assert tree.common.tolist() == common
+        nodes = tree.nodes(window - 3)
+        assert all((nodes[k] == nodes[k + 1]) == (common[k] >= window - 3) for k in range(len(common)))
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    """One anchor beyond any group: longer prefixes and shares, whose first leaves meet once more."""
+    passage = F.lit(" ".join(f"p{k}" for k in range(40)))
+    own = lambda name: F.expr(f"array_join(transform(sequence(1, 25), j -> concat('{name}', id, 'x', j)), ' ')")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat_ws(" ", own("a"), passage, own("b"))).otherwise(own("c")).alias("text"))
+    got = substring_dedup.without_repeats(docs.repartition(6), group=50)
+    assert {(r.n, r.c) for r in got.groupBy(F.when((F.col("doc_id") % 3 == 0) & (F.col("doc_id") > 0), 40).otherwise(0).alias("n")).agg(F.min("n_removed").alias("c")).collect()} == {(40, 40), (0, 0)}
+    assert got.agg(F.sum("n_removed")).first()[0] == 999 * 40
