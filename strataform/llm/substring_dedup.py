@@ -75,15 +75,18 @@ def _starts(values: np.ndarray) -> np.ndarray:
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, same = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             for first, offsets, data in W.texts(batch.column(1)):
                 w = W.words(offsets, data)
                 whole, at, grams = _window_anchors(w, window)
                 at = at[whole]
                 at = at[_starts(at)]
                 row = w.row[at]
+                place = at - w.first[row]
+                where = W.mix(same[first + row] + place.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[at].view(np.int64)), pa.array(ids[first + row]), pa.array((at - w.first[row]).astype(np.int32))], ["anchor", "id", "at"]
+                    [pa.array(grams[at].view(np.int64)), pa.array(ids[first + row]), pa.array(place.astype(np.int32)), pa.array(where.view(np.int64))],
+                    ["anchor", "id", "at", "place"],
                 )
 
     return run
@@ -179,13 +182,12 @@ class Subtree:
         return np.cumsum(np.concatenate([[0], self.common < depth]))
 
 
-def _repeats(window: int):
-    """Windows of each stretch that have an earlier leaf below their node; and of shared ones, the first leaves as stretches."""
+def _repeats(window: int, firsts: bool = False):
+    """Windows of each stretch that have an earlier leaf below their node; or, with ``firsts``, the first leaves of shared stretches as stretches."""
 
     def judged(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         ids, start, n = (table[c].to_numpy() for c in ("id", "start", "n"))
-        shared = table["shared"].to_numpy()
         codes, length = _codes(table["codes"].chunk(0))
         row = np.repeat(np.arange(len(ids)), n)
         suffix = _ragged(np.cumsum(length) - length, n)
@@ -195,28 +197,28 @@ def _repeats(window: int):
         node[tree.order] = tree.nodes(window)
         order = np.lexsort((place, own, node))
         first = _starts(node[order])
+        if firsts:
+            met = np.sort(order[first])
+            words = codes[_ragged(suffix[met], np.full(len(met), window))]
+            key = W._ranges(W.mix(words), np.arange(len(met)) * window, (np.arange(len(met)) + 1) * window)
+            one, many = np.ones(len(met), np.int32), np.full(len(met), window)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(own[met]), pa.array(place[met].astype(np.int32)), pa.array(one), _binary(words, many), pa.array(one < 0)], ["part", "id", "start", "n", "codes", "shared"]
+            )
         leaf = np.repeat(order[first], np.diff(np.append(first, len(order))))
         again = np.zeros(len(suffix), bool)
         again[order] = (own[order] != own[leaf]) | (place[order] != place[leaf])
         gone = np.flatnonzero(again)
         edge = np.searchsorted(row[gone], np.arange(len(ids) + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(place[gone].astype(np.int32)))
-        some = np.diff(edge) > 0
-        rows = [pa.array(ids[some]), lists.filter(pa.array(some)), pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.binary())]
-        met = order[first]
-        met = np.sort(met[shared[row[met]]])
-        if not len(met):
-            return pa.RecordBatch.from_arrays(rows, ["id", "starts", "part", "codes"])
-        words = codes[_ragged(suffix[met], np.full(len(met), window))]
-        many = np.full(len(met), window)
-        key = W._ranges(W.mix(words), np.arange(len(met)) * window, (np.arange(len(met)) + 1) * window)
-        one = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1, dtype=np.int32)), pa.array(place[met].astype(np.int32)))
-        more = [pa.array(own[met]), one, pa.array(key.view(np.int64)), _binary(words, many)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(rows, more, strict=True)], ["id", "starts", "part", "codes"])
+        some = pa.array(np.diff(edge) > 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids).filter(some), lists.filter(some)], ["id", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
+            if firsts:
+                batch = batch.filter(batch.column(5))
             held.append(batch)
             rows += len(batch)
             if rows < SORTED:
@@ -295,20 +297,26 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = scratch.written(heads.select("print", "head"), "heads")  # written first, so that a print with very many copies can be split over tasks
     copies = scratch.written(texts.join(heads, "print").filter("id > head").select("id").distinct(), "copies")
 
-    single = dealt.join(copies.hint("shuffle_hash"), "id", "left_anti").select("id", "text")
-    anchors = W.over(single, _anchors(window), "anchor bigint, id bigint, at int")
-    often = scratch.written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    anchors = W.over(named.select("id", "text", F.xxhash64("text").alias("same")), _anchors(window), "anchor bigint, id bigint, at int, place bigint")
+    # copies of a text have its anchors at the same places, which makes no anchor a repeated one
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("place").alias("p0"), F.max("place").alias("p1")).filter("p0 <> p1").select("anchor", "n")
+    often = scratch.written(often, "often")
     total = often.agg(F.sum("n")).first()[0] or 0
-    hot = often.filter(F.col("n") > total / HOT)  # fewer than HOT rows
-    cold = anchors.join(F.broadcast(hot), "anchor", "left_anti").join(often, "anchor")
-    known = cold.unionByName(anchors.join(F.broadcast(hot), "anchor"))
-    marks = known.groupBy("id").agg(F.collect_list(F.struct("at", F.ceil(F.col("n") / group).cast("int").alias("shares"))).alias("marks"))
-    stretches = W.over(dealt.join(marks, "id").select("id", "text", "marks"), _stretches(window), STRETCH)
-    schema = "id bigint, starts array<int>, part bigint, codes binary"
-    judged = scratch.written(W.over(stretches.repartition(parts, "part").sortWithinPartitions("part"), _repeats(window), schema), "judged")
-    firsts = judged.filter("part IS NOT NULL").select("part", "id", F.col("starts")[0].alias("start"), F.lit(1).alias("n"), "codes", F.lit(False).alias("shared"))
-    met = W.over(firsts.repartition(parts, "part").sortWithinPartitions("part"), _repeats(window), schema)
-    repeats = judged.filter("part IS NULL").select("id", "starts").unionAll(met.select("id", "starts"))
+    hot = often.filter(F.col("n") > total / HOT).withColumnRenamed("n", "hot_n")  # fewer than HOT rows
+    # hot anchors know their number already; a key of their own keeps them from meeting in one task
+    flagged = anchors.drop("place").join(F.broadcast(hot), "anchor", "left")
+    flagged = flagged.withColumn("key", F.when(F.col("hot_n").isNull(), F.col("anchor")).otherwise(F.xxhash64("id", "at")))
+    known = flagged.join(often.withColumnRenamed("anchor", "key"), "key", "left").withColumn("n", F.coalesce("hot_n", "n")).filter("n IS NOT NULL")
+    marks = (
+        known.groupBy("id")
+        .agg(F.collect_list(F.struct("at", F.ceil(F.col("n") / group).cast("int").alias("shares"))).alias("marks"))
+        .join(copies, "id", "left_anti")
+    )
+    stretches = W.over(dealt.join(marks, "id").select("id", "text", "marks"), _stretches(window), STRETCH).repartition(parts, "part").sortWithinPartitions("part")
+    schema = "id bigint, starts array<int>"
+    # the shared rows are picked in Python, so that both readers share one exchange
+    firsts = W.over(stretches, _repeats(window, firsts=True), STRETCH).repartition(parts, "part").sortWithinPartitions("part")
+    repeats = W.over(stretches, _repeats(window), schema).unionAll(W.over(firsts, _repeats(window), schema))
     starts = repeats.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed_spans array<array<bigint>>, kept_text string"
