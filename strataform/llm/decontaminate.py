@@ -2,25 +2,32 @@
 
 Benchmark items are cut into windows of 10 words (an item of fewer words is one
 window). The fingerprint of a window is the least hash of the 5-word sequences in
-it: equal windows have equal fingerprints, so every shared span of a window's
-length is met. A document keeps the windows whose fingerprint is one of the
-benchmark's; those few are joined with the benchmark's windows word by word, and
-the words of all that match are the hits.
-
-The benchmark's fingerprints go into the plan as literal sets of at most ``BLOCK``
-values, one pass over the documents for each block, so memory does not follow the
-benchmark. Documents are never shuffled as text.
+it, so equal windows have equal fingerprints, and every shared span of a window's
+length is met.
+
+1. The distinct fingerprints of every document's windows are joined with those of
+   the benchmark. Documents go by a 128-bit hash of their text, so copies are one.
+2. The texts that were hit are dealt out by that hash, and each hit is extended to
+   the windows that carry its fingerprint. These are joined with the benchmark's
+   windows word by word; all the words of those that match are hits.
+3. What was found goes back to the documents by the hash of their text.
+
+All documents are read once in each step, whatever the size of the benchmark. Nothing
+is collected but the lengths of windows, ten at most. The benchmark's tables are
+written first, so Spark knows their size: it broadcasts them below its own threshold
+and shuffles beyond, splitting skewed keys. Where a text is in very many documents,
+its rows are dealt out in ``SHARES`` shares.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm import scratch
+
 GRAM = 5
-BLOCK = 100_000
+SHARES = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,6 +60,21 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     ).distinct()
 
 
+def _print() -> list[Column]:
+    """Two hashes of the text under seeds of their own."""
+    return [F.xxhash64("text").alias("p0"), F.xxhash64(F.lit(1), "text").alias("p1")]
+
+
+def _windows(lengths: list[int], each: str) -> str:
+    """SQL for an array of ``each``, written for window i with fingerprint f, over the windows of all lengths."""
+    parts = [
+        f"transform(array({_grams(n)}), g -> transform(CASE WHEN size(words) >= {n} THEN sequence(0, size(words) - {n}) ELSE CAST(array() AS array<int>) END, "
+        f"i -> {each.format(length=n, f=_fingerprint(n, 'g', 'i'))}))[0]"
+        for n in lengths
+    ]
+    return f"concat({', '.join(parts)})"
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -62,7 +84,6 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Which words of every document lie in a window of some benchmark item.
 
@@ -72,53 +93,43 @@ def contamination(
     and empty texts have no words; an item without words has no window. An item
     with a null id hits but is not counted or listed. Repeated rows are separate
     rows; an empty table on either side gives no hits; other columns are ignored,
-    whatever their names.
+    whatever their names. Whole texts are searched, however long.
     """
-    targets = benchmark_windows(benchmark, item_col, item_text_col, window)
-    split = targets.select("length", F.split("window", " ").alias("words"))
-    lengths = sorted(r[0] for r in split.select("length").distinct().collect())  # at most `window` values
-    prints = {}
-    for length in lengths:
-        own = split.filter(F.col("length") == length).select(F.expr(_grams(length)).alias("g")).select(F.expr(_fingerprint(length, "g", "0")).alias("h")).distinct()
-        prints[length] = own
-    counts = {length: own.count() for length, own in prints.items()}
-    blocks = {length: math.ceil(n / block) for length, n in counts.items()}
-
-    base = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), word_list(F.col(text_col)).alias("words")
-    ).withColumn("n_words", F.size("words").cast("bigint"))
-
-    def met(b: int) -> DataFrame:
-        """Rows with the windows whose fingerprint is in block b, and at first one row for each without any."""
-        frame, found = base, ["CAST(array() AS array<struct<start:int,length:int,window:string>>)"]
-        for length in lengths:
-            if b >= blocks[length]:
-                continue
-            values = prints[length].filter(F.pmod("h", F.lit(blocks[length])) == b).collect()
-            if not values:
-                continue
-            inside = ", ".join(f"{r[0]}L" if r[0] != -(1 << 63) else f"({-(1 << 63) + 1}L - 1L)" for r in values)
-            frame = frame.withColumn(f"g{length}", F.expr(_grams(length)))
-            found.append(
-                f"CASE WHEN size(words) >= {length} THEN transform(filter(sequence(0, size(words) - {length}), "
-                f"i -> {_fingerprint(length, f'g{length}', 'i')} IN ({inside})), "
-                f"i -> named_struct('start', i + 1, 'length', {length}, 'window', array_join(slice(words, i + 1, {length}), ' '))) END"
-            )
-        found = [found[0], *(f"coalesce({x}, {found[0]})" for x in found[1:])]
-        explode = F.explode_outer if b == 0 else F.explode
-        return frame.select("row", "doc_id", "n_words", explode(F.expr(f"concat({', '.join(found)})")).alias("at")).select("row", "doc_id", "n_words", "at.*")
-
-    windows = met(0)
-    for b in range(1, max(blocks.values(), default=0)):
-        windows = windows.unionAll(met(b))
-    # rows without a window get a key of their own, so that they do not meet in one task
-    keyed = windows.withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("row").cast("string"))))
-    joined = keyed.join(targets.select("window", "item_id", F.lit(True).alias("is_hit")), "window", "left")
-    grouped = joined.groupBy("row", "doc_id", "n_words").agg(
-        F.collect_set(F.when(F.col("is_hit"), F.struct("start", "length"))).alias("hits"), F.sort_array(F.collect_set("item_id")).alias("items")
-    )
+    targets = scratch.written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
+    lengths = sorted(r[0] for r in targets.select("length").distinct().collect())  # at most `window` values
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = base.select("doc_id", share, *_print(), F.size(word_list(F.col("text"))).cast("bigint").alias("n_words"))
+    if not lengths:
+        empty = F.expr("CAST(array() AS array<struct<start:int,length:int>>)")
+        return slim.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), empty.alias("hits"))
+
+    cut = targets.select("length", F.split("window", " ").alias("words"))
+    own = [cut.filter(F.col("length") == n).select(F.lit(n).alias("length"), F.expr(_grams(n)).alias("g")).select("length", F.expr(_fingerprint(n, "g", "0")).alias("f")) for n in lengths]
+    fingerprints = own[0]
+    for more in own[1:]:
+        fingerprints = fingerprints.unionAll(more)
+    fingerprints = scratch.written(fingerprints.distinct(), "fingerprints")
+
+    texts = base.filter("text IS NOT NULL")
+    met = texts.select(*_print(), word_list(F.col("text")).alias("words"))
+    met = met.select("p0", "p1", F.explode(F.array_distinct(F.expr(_windows(lengths, "struct({length} AS length, {f} AS f)")))).alias("w")).select("p0", "p1", "w.*")
+    met = met.join(fingerprints, ["length", "f"]).groupBy("p0", "p1").agg(F.collect_set(F.struct("length", "f")).alias("met"))
+    met = scratch.written(met, "met")
+
+    # one row for each text that was hit; the hint makes it one path at every size
+    found = texts.select(*_print(), share, "text").join(met.select("p0", "p1", "met", every).hint("shuffle_hash"), ["p0", "p1", "share"])
+    found = found.dropDuplicates(["p0", "p1"]).select("p0", "p1", "met", word_list(F.col("text")).alias("words"))
+    spans = "CASE WHEN array_contains(met, struct({length} AS length, {f} AS f)) THEN struct(i + 1 AS start, {length} AS length, array_join(slice(words, i + 1, {length}), ' ') AS window) END"
+    spans = found.select("p0", "p1", F.explode(F.expr(f"filter({_windows(lengths, spans)}, x -> x IS NOT NULL)")).alias("at")).select("p0", "p1", "at.*")
+    hits = spans.join(targets, ["length", "window"]).groupBy("p0", "p1")
+    hits = scratch.written(hits.agg(F.collect_set(F.struct("start", "length")).alias("hits"), F.sort_array(F.collect_set("item_id")).alias("items")), "hits")
+
+    joined = slim.join(hits.select("p0", "p1", "hits", "items", every).hint("shuffle_hash"), ["p0", "p1", "share"], "left")
+    joined = joined.select("doc_id", "n_words", F.coalesce("hits", F.expr("CAST(array() AS array<struct<start:int,length:int>>)")).alias("hits"), F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"))
     covered = F.expr("CAST(size(array_distinct(flatten(transform(hits, h -> sequence(h.start, h.start + h.length - 1))))) AS bigint)")
-    return grouped.select(
+    return joined.select(
         "doc_id",
         "n_words",
         covered.alias("n_hit"),
