@@ -45,9 +45,10 @@ def _grams(length: int) -> str:
 
 
 def _fingerprint(length: int, grams: str, i: str) -> str:
+    """SQL for the least hash of the sequences in window i, told apart by the window's length."""
     k = min(GRAM, length)
     each = [f"{grams}[{i} + {j}]" for j in range(length - k + 1)]
-    return f"least({', '.join(each)})" if len(each) > 1 else each[0]
+    return f"({f'least({chr(44).join(each)})' if len(each) > 1 else each[0]} ^ {length}L)"
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -106,7 +107,7 @@ def contamination(
         return slim.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), empty.alias("hits"))
 
     cut = targets.select("length", F.split("window", " ").alias("words"))
-    own = [cut.filter(F.col("length") == n).select(F.lit(n).alias("length"), F.expr(_grams(n)).alias("g")).select("length", F.expr(_fingerprint(n, "g", "0")).alias("f")) for n in lengths]
+    own = [cut.filter(F.col("length") == n).select(F.expr(_grams(n)).alias("g")).select(F.expr(_fingerprint(n, "g", "0")).alias("f")) for n in lengths]
     fingerprints = own[0]
     for more in own[1:]:
         fingerprints = fingerprints.unionAll(more)
@@ -114,14 +115,14 @@ def contamination(
 
     texts = base.filter("text IS NOT NULL")
     met = texts.select(*_print(), word_list(F.col("text")).alias("words"))
-    met = met.select("p0", "p1", F.explode(F.array_distinct(F.expr(_windows(lengths, "struct({length} AS length, {f} AS f)")))).alias("w")).select("p0", "p1", "w.*")
-    met = met.join(fingerprints, ["length", "f"]).groupBy("p0", "p1").agg(F.collect_set(F.struct("length", "f")).alias("met"))
+    met = met.select("p0", "p1", F.explode(F.array_distinct(F.expr(_windows(lengths, "{f}")))).alias("f"))
+    met = met.join(fingerprints, "f").groupBy("p0", "p1").agg(F.collect_set("f").alias("met"))
     met = scratch.written(met, "met")
 
     # one row for each text that was hit; the hint makes it one path at every size
     found = texts.select(*_print(), share, "text").join(met.select("p0", "p1", "met", every).hint("shuffle_hash"), ["p0", "p1", "share"])
     found = found.dropDuplicates(["p0", "p1"]).select("p0", "p1", "met", word_list(F.col("text")).alias("words"))
-    spans = "CASE WHEN array_contains(met, struct({length} AS length, {f} AS f)) THEN struct(i + 1 AS start, {length} AS length, array_join(slice(words, i + 1, {length}), ' ') AS window) END"
+    spans = "CASE WHEN array_contains(met, {f}) THEN struct(i + 1 AS start, {length} AS length, array_join(slice(words, i + 1, {length}), ' ') AS window) END"
     spans = found.select("p0", "p1", F.explode(F.expr(f"filter({_windows(lengths, spans)}, x -> x IS NOT NULL)")).alias("at")).select("p0", "p1", "at.*")
     hits = spans.join(targets, ["length", "window"]).groupBy("p0", "p1")
     hits = scratch.written(hits.agg(F.collect_set(F.struct("start", "length")).alias("hits"), F.sort_array(F.collect_set("item_id")).alias("items")), "hits")
