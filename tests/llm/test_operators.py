@@ -299,7 +299,7 @@ def test_nearest_rows_come_from_probed_lists_alone(spark, monkeypatch):
     built = []
 
     def one_list(index, other, k):
-        index.centroids = np.vstack([index.centroids, points[100] @ index.rotation])
+        index.first = index.centroids = np.vstack([index.centroids, points[100] @ index.rotation])
         built.append(index)
         return 1
 
@@ -309,7 +309,7 @@ def test_nearest_rows_come_from_probed_lists_alone(spark, monkeypatch):
     for row in sorted(found, key=lambda row: (row.query_id, row.rank)):
         got[row.query_id].append(row.vec_id)
     assert sorted(got) == list(range(0, 3000, 100)) and all(len(v) == 10 for v in got.values())
-    places, hit = built[0].lists_of(points, 1)[:, 0], []
+    places, hit = built[0].own_list(points @ built[0].rotation), []
     for q, v in got.items():
         far = ((points.astype(float) - points[q].astype(float)) ** 2).sum(1)
         far[q] = np.inf
@@ -533,3 +533,29 @@ def test_a_benchmark_of_many_windows(spark):
     rows = [(k, texts[k % 5] if k % 3 else texts[1]) for k in range(300)]
     got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), items)
     assert {r.doc_id: r.n_hit for r in got.collect()} == {k: hit[texts.index(t)] for k, t in rows}
+
+
+def recall_of(found, points, k=10):
+    got, hit = defaultdict(list), 0
+    for row in found:
+        got[row.query_id].append((row.score, row.vec_id))
+    for q, v in got.items():
+        far = np.sqrt(((points - points[q]) ** 2).sum(1))
+        far[q] = np.inf
+        assert all(far[x] == s or abs(far[x] - s) < 1e-15 * s for s, x in v)
+        hit += len({x for _, x in v} & set(np.argsort(far, kind="stable")[:k].tolist()))
+    return len(got), hit / (k * len(got))
+
+
+def test_nearest_of_doubles_with_a_sample_of_few_rows_and_two_levels(spark, monkeypatch):
+    """A sample of 4 % of the rows; neighbours that only doubles tell apart; columns with clashing names."""
+    monkeypatch.setattr(nearest, "FIRST", 12)
+    r = np.random.default_rng(8)
+    points = r.normal(size=(40, 32))[r.integers(0, 40, 20_000)] + 0.3 * r.normal(size=(20_000, 32))
+    points[100:130] = points[100] + 1e-9 * np.arange(30)[:, None]
+    rows = [(k, p.tolist(), 1, 0.5, None) for k, p in enumerate(points)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id int, score double, vector string")
+    queries_n, recall = recall_of(nearest.search(docs, sample_rows=800).collect(), points)
+    assert queries_n == 200 and recall >= 0.9
+    ties = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(30)], "vec_id bigint, embedding array<double>")
+    assert [x.vec_id for x in nearest.search(ties).orderBy("rank").collect()] == [3, 6, 9, 12, 15, 18, 21, 24, 27, 1]
