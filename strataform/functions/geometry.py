@@ -65,3 +65,24 @@ def translation_error(a: Column, b: Column) -> Column:
 def moved(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """A point under a row-major 4x4 transform."""
     return tuple(m[4 * k] * x + m[4 * k + 1] * y + m[4 * k + 2] * z + m[4 * k + 3] for k in range(3))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return sum((a[k] * b[k] for k in range(3)), F.lit(0.0))
+
+
+def normal_angle(a: Column, b: Column) -> Column:
+    """Acute angle in degrees between two unit normals, given as arrays of three."""
+    return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(_dot(a, b)))))
+
+
+def plane_distance(c1: Column, n1: Column, c2: Column, n2: Column) -> Column:
+    """Mean distance of each of two planes' centres from the other plane."""
+    gap = F.zip_with(c2, c1, lambda x, y: x - y)
+    return (F.abs(_dot(n1, gap)) + F.abs(_dot(n2, gap))) / 2
+
+
+def turned(normal: tuple[Column, Column, Column], yaw: Column) -> tuple[Column, Column, Column]:
+    """A direction turned about z."""
+    x, y, z = normal
+    return F.cos(yaw) * x - F.sin(yaw) * y, F.sin(yaw) * x + F.cos(yaw) * y, z

@@ -65,33 +65,48 @@ def thin_once(foreground: DataFrame, images: DataFrame, first: bool = True) -> D
     return masks.filter(~(inner & F.element_at(table, (F.col("mask") + 1).cast("int")))).select("cloud_id", "row", "col")
 
 
-def thin_image(image: np.ndarray) -> np.ndarray:
-    """Both passes in turn until nothing changes."""
-    image = image.copy()
+def thin_pixels(row: np.ndarray, col: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Which pixels stay after both passes in turn until nothing changes; memory follows the pixels, not the image."""
+    key = row.astype(np.int64) * (width + 2) + col + 1  # a column to spare on both sides, so that rows do not touch
+    order = np.argsort(key)
+    key, stay = key[order], np.ones(len(key), bool)
+    inner = ((row >= 1) & (row <= height - 2) & (col >= 1) & (col <= width - 2))[order]
     tables = [np.array(removable(first)) for first in (True, False)]
-    changed = min(image.shape) >= 3
+    # place of each pixel's neighbours among all pixels; the last place stands for none
+    places = []
+    for r, c in NEIGHBOURS:
+        want = key + r * (width + 2) + c
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        places.append(np.where(key[at] == want, at, len(key)))
+    changed = len(key) > 0
     while changed:
         changed = False
         for table in tables:
-            mask = np.zeros(image.shape, int)[1:-1, 1:-1]
-            for k, (r, c) in enumerate(NEIGHBOURS):
-                mask = mask | image[1 + r : image.shape[0] - 1 + r, 1 + c : image.shape[1] - 1 + c].astype(int) << k
-            gone = image[1:-1, 1:-1] & table[mask]
+            here = np.append(stay, False)
+            mask = sum(here[at].astype(np.int64) << k for k, at in enumerate(places))
+            gone = stay & inner & table[mask]
             changed |= bool(gone.any())
-            image[1:-1, 1:-1] &= ~gone
-    return image
+            stay &= ~gone
+    out = np.empty(len(stay), bool)
+    out[order] = stay
+    return out
+
+
+def thin_image(image: np.ndarray) -> np.ndarray:
+    """The same on a dense image."""
+    row, col = np.nonzero(image)
+    stay = thin_pixels(row, col, *image.shape)
+    out = np.zeros_like(image)
+    out[row[stay], col[stay]] = True
+    return out
 
 
 def thin(foreground: DataFrame, images: DataFrame) -> DataFrame:
-    """Foreground thinned to its skeleton; one group is one image, whose size the scan fixes."""
+    """Foreground thinned to its skeleton; one group is the foreground of one image."""
 
     def run(group):
-        import pandas as pd
-
-        dense = np.zeros((int(group["height"].iloc[0]), int(group["width"].iloc[0])), bool)
-        dense[group["row"], group["col"]] = True
-        row, col = np.nonzero(thin_image(dense))
-        return pd.DataFrame({"cloud_id": group["cloud_id"].iloc[0], "row": row, "col": col})
+        stay = thin_pixels(group["row"].to_numpy(), group["col"].to_numpy(), int(group["height"].iloc[0]), int(group["width"].iloc[0]))
+        return group.loc[stay, ["cloud_id", "row", "col"]]
 
     joined = foreground.select("cloud_id", "row", "col").join(images.select("cloud_id", "width", "height"), "cloud_id")
     return joined.groupBy("cloud_id").applyInPandas(run, "cloud_id string, row bigint, col bigint")

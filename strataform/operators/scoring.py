@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from strataform.functions import geometry as G
 
 
-def success(rotation: Column, translation: Column, max_rotation: float, max_translation: float, inclusive: bool = True) -> Column:
-    """Whether both errors are within their thresholds; a null error is none."""
+def success(rotation: Column, translation: Column, max_rotation: float, max_translation: float, inclusive: bool = True, time: Column | None = None) -> Column:
+    """Whether both errors are within their thresholds, and ``time``, if given, is positive; what is missing is none."""
     good = (rotation <= max_rotation) & (translation <= max_translation) if inclusive else (rotation < max_rotation) & (translation < max_translation)
+    if time is not None:
+        good = good & (F.nanvl(time, F.lit(0.0)) > 0)
     return F.coalesce(good, F.lit(False))
 
 
@@ -26,8 +28,22 @@ def residuals(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return joined.groupBy("pair_idx").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.median("error").alias("median_error"))
 
 
+def scored(pairs: DataFrame, points: DataFrame, times: DataFrame, key: str, time_key: str | list[str], max_rotation: float, max_translation: float) -> DataFrame:
+    """All errors of every pair, its run time, and success by strict thresholds and a positive time.
+
+    pairs: pair_idx, source, target, ``key`` (of the cloud to measure on), truth,
+    estimate (null after a failure); times: ``time_key``, time_s. Errors of
+    rotation and translation count to four places.
+    """
+    errors = pairs.withColumns({"rotation_error": G.rotation_error(F.col("truth"), F.col("estimate")), "translation_error": G.translation_error(F.col("truth"), F.col("estimate"))})
+    spread = residuals(points, pairs.select("pair_idx", key, "truth", "estimate").filter("estimate IS NOT NULL"), key).drop("n")
+    joined = errors.join(spread, "pair_idx", "left").join(times, time_key, "left")
+    good = success(F.round("rotation_error", 4), F.round("translation_error", 4), max_rotation, max_translation, inclusive=False, time=F.col("time_s"))
+    return joined.select("pair_idx", "source", "target", "rotation_error", "translation_error", "rmse", "median_error", "time_s", good.alias("success"))
+
+
 def summary(results: DataFrame) -> DataFrame:
-    """One row over results with success, rotation_error, translation_error and time_s; means over no success are null."""
+    """One row over results with success, rotation_error, translation_error and time_s, and rmse and median_error if they are there; means over no success are null."""
     time = F.nanvl(F.col("time_s"), F.lit(None).cast("double"))
     good = lambda c: F.avg(F.when(F.col("success"), c))
     return results.agg(
@@ -36,6 +52,7 @@ def summary(results: DataFrame) -> DataFrame:
         F.avg(F.col("success").cast("double")).alias("success_rate"),
         good(F.col("rotation_error")).alias("mean_rotation_error"),
         good(F.col("translation_error")).alias("mean_translation_error"),
+        *[good(F.col(c)).alias(f"mean_{c}") for c in ("rmse", "median_error") if c in results.columns],
         F.avg(time).alias("mean_time_s"),
         good(time).alias("mean_time_s_success"),
     )

@@ -331,7 +331,7 @@ grown AS (SELECT pair_id, [i] AS members, 0.0::DOUBLE AS weight FROM (SELECT pai
 SELECT pair_id, {_r('max(weight) weight')}, false AS truncated FROM grown GROUP BY pair_id"""
 )
 def max_weight_clique(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.cliques(M.similarity(_matches(spark, d, 24), LENGTH)).drop("members"))
+    return rounded(M.cliques(M.similarity(_matches(spark, d, 24), LENGTH)).drop("members")).withColumn("truncated", F.lit(False))
 
 
 @query()
@@ -339,7 +339,7 @@ def congruent_subgraphs(spark: SparkSession, d: str) -> DataFrame:
     own = _slots(spark, d).groupBy("cloud_id", "id").agg(F.sort_array(F.collect_list(F.struct("slot", "neighbour"))).alias("s"))
     graphs = _nodes(spark, d).join(own, ["cloud_id", "id"]).select(F.lit("p").alias("pair_id"), F.col("cloud_id").alias("side"), "id", "x", "y", "angle", "is_right", F.col("s.neighbour").alias("slots"))
     found = M.match(graphs, _ranked(spark, d), LENGTH, ANGLE)
-    return rounded(found.select("pair_id", "candidate", "weight", "truncated", F.size("matches").alias("size"), F.explode("matches").alias("m")).select("pair_id", "candidate", "weight", "truncated", "size", "m.src", "m.tgt"))
+    return rounded(found.select("pair_id", "candidate", "weight", F.size("matches").alias("size"), F.explode("matches").alias("m")).select("pair_id", "candidate", "weight", "size", "m.src", "m.tgt"))
 
 
 _FIT = """sums AS (SELECT count(*) AS n, avg(sx) AS a, avg(sy) AS b, avg(tx) AS c, avg(ty) AS d, avg(sx * tx) AS ac, avg(sx * ty) AS ad, avg(sy * tx) AS bc, avg(sy * ty) AS bd FROM ranked WHERE rank <= 200),
@@ -477,3 +477,56 @@ def set_algebra(spark: SparkSession, d: str) -> DataFrame:
     one, two = own.select("cloud_id", F.col("id").alias("i"), F.col("own").alias("a")), own.select("cloud_id", F.col("id").alias("j"), F.col("own").alias("b"))
     size = lambda c, n: F.size(c).cast("bigint").alias(n)
     return one.join(two, "cloud_id").filter("i < j").select("cloud_id", "i", "j", size(F.array_intersect("a", "b"), "n_both"), size(F.array_union("a", "b"), "n_either"), size(F.array_except("a", "b"), "n_first"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with their point errors, run times, and success by strict thresholds and a positive time."""
+    pairs = _poses(spark, d).select("pair_idx", "source", "target", F.concat(F.lit("e"), (F.col("pair_idx") % 10).cast("string")).alias("cloud_id"), "truth", "estimate")
+    return C.scored(pairs, views.points_small(spark, d), views.runtimes(spark, d), "cloud_id", "pair_idx", 5.0, 2.0)
+
+
+# the rotation error counts with four places, as above
+_STRICT = """points_errors AS (SELECT t.pair_idx, sqrt(pow((cos(yaw_gt) - cos(yaw_est)) * x - (sin(yaw_gt) - sin(yaw_est)) * y - terr, 2) + pow((sin(yaw_gt) - sin(yaw_est)) * x + (cos(yaw_gt) - cos(yaw_est)) * y, 2) + terr * terr) AS error
+  FROM transforms t JOIN points_small p ON p.cloud_id = concat('e', (t.pair_idx % 10)::VARCHAR)),
+spread AS (SELECT pair_idx, sqrt(avg(error * error)) AS rmse, median(error) AS median_error FROM points_errors GROUP BY pair_idx),
+scored AS (SELECT e.pair_idx, source, target, rotation_error, translation_error, rmse, median_error, time_s,
+    coalesce(round(rotation_error, 4) < 5 AND round(translation_error, 4) < 2 AND time_s > 0, false) AS success
+  FROM errors e LEFT JOIN spread USING (pair_idx) LEFT JOIN runtimes USING (pair_idx))"""
+
+
+@query(_with("points_small", "transforms", "runtimes", _ERRORS, _STRICT) + f"SELECT pair_idx, source, target, success, {_r('translation_error translation_error', 'rmse rmse', 'median_error median_error', 'time_s time_s')} FROM scored")
+def strict_success(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_scored(spark, d).select("pair_idx", "source", "target", "success", "translation_error", "rmse", "median_error", "time_s"))
+
+
+@query(
+    _with("points_small", "transforms", "runtimes", _ERRORS, _STRICT)
+    + f"""SELECT count(*) AS pairs, count(*) FILTER (success) AS successes, {_r('avg(success::INT) success_rate')}, round(avg(rotation_error) FILTER (success), 4) AS mean_rotation_error,
+  {_r('(avg(translation_error) FILTER (success)) mean_translation_error', '(avg(rmse) FILTER (success)) mean_rmse', '(avg(median_error) FILTER (success)) mean_median_error', 'avg(time_s) mean_time_s', '(avg(time_s) FILTER (success)) mean_time_s_success')} FROM scored"""
+)
+def scoring_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.summary(_scored(spark, d)).withColumn("mean_rotation_error", F.round("mean_rotation_error", 4)))
+
+
+@query(
+    "WITH l AS (SELECT l_linenumber, l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate FROM lineitem)\n"
+    "SELECT concat('c', l_linenumber::VARCHAR) AS cloud_id, l_orderkey AS source_key, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS point_id FROM l"
+)
+def point_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    return views.points(spark, d, "l_orderkey").select("cloud_id", F.col("l_orderkey").alias("source_key"), "point_id")
+
+
+@query(
+    _with("lines")
+    + f"""SELECT s.line_id AS i, t.line_id AS j, {_r('degrees(acos(least(1.0, abs(s.a * t.a + s.b * t.b)))) normal_angle',
+        '(abs(s.a * (s.a * s.c - t.a * t.c) + s.b * (s.b * s.c - t.b * t.c)) / 2 + abs(t.a * (s.a * s.c - t.a * t.c) + t.b * (s.b * s.c - t.b * t.c)) / 2) plane_distance')}
+  FROM lines s JOIN lines t ON s.cloud_id = 'src' AND t.cloud_id = 'tgt'"""
+)
+def plane_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Every line as an upright plane through its foot, beside every line of the other side."""
+    foot = lambda side, k: views.lines(spark, d).filter(F.col("cloud_id") == side).select(
+        F.col("line_id").alias("i" if k == 1 else "j"), F.array("a", "b", F.lit(0.0)).alias(f"n{k}"), F.array(-F.col("a") * F.col("c"), -F.col("b") * F.col("c"), F.lit(0.0)).alias(f"c{k}")
+    )
+    both = foot("src", 1).join(foot("tgt", 2))
+    c1, n1, c2, n2 = (F.col(c) for c in ("c1", "n1", "c2", "n2"))
+    return rounded(both.select("i", "j", G.normal_angle(n1, n2).alias("normal_angle"), G.plane_distance(c1, n1, c2, n2).alias("plane_distance")))

@@ -10,8 +10,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven clouds c1..c7 from lineitem."""
+def points(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Seven clouds c1..c7 from lineitem, points numbered from 1; with ``more`` of its columns."""
     order = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     return _table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("cloud_id"),
@@ -19,6 +19,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("x"),
         (F.col("l_extendedprice") / 2000.0).alias("y"),
         (F.col("l_discount") * 100.0).alias("z"),
+        *more,
     )
 
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # fixed values: property types of the format
 TYPES = {
@@ -56,39 +55,33 @@ def parse(content: bytes) -> np.ndarray:
     return np.stack([table[c] for c in "xyz"], axis=1).astype(np.float32)
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Points of all scans under ``path`` (a glob is fine), and the files that could not be read with the reason.
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Points of all scans under ``path`` (a glob is fine), and a row with ``error`` for each file that could not be read.
 
-    A scan is named by its file. Files are read by Spark's own reader, so any
-    store it knows will do; a broken file yields no points and one error row.
+    A scan is named by its file. Files are read by Spark's own reader, so any store
+    it knows will do, and each is parsed once. A file is held whole: the format
+    gives no way into its middle.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    names = ["cloud_id", "point_id", "x", "y", "z", "error"]
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                name = path.rsplit("/", 1)[-1]
                 try:
                     xyz = parse(content.as_py())
-                except ValueError:
+                except ValueError as reason:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float32())] * 3, pa.array([str(reason)])], names)
                     continue
                 for at in range(0, len(xyz), 100_000):
                     part = xyz[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.rsplit("/", 1)[-1]] * len(part)), pa.array(np.arange(at, at + len(part))), *(pa.array(part[:, k]) for k in range(3))], ["cloud_id", "point_id", "x", "y", "z"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), *(pa.array(part[:, k]) for k in range(3)), pa.nulls(len(part), pa.string())], names)
 
-    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    parse(content.as_py())
-                except ValueError as reason:
-                    bad.append((name.rsplit("/", 1)[-1], str(reason)))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bad], pa.string()), pa.array([y for _, y in bad], pa.string())], ["cloud_id", "error"])
-
-    return files.mapInArrow(points, SCHEMA), files.mapInArrow(errors, "cloud_id string, error string")
+    return files.mapInArrow(rows, SCHEMA + ", error string")
 
 
-def cloud_names(points: DataFrame) -> DataFrame:
-    return points.select(F.col("cloud_id")).distinct()
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``scan`` as points, and as the files that could not be read with the reason."""
+    rows = scan(spark, path)
+    return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select("cloud_id", "error")

@@ -70,3 +70,10 @@ def write_transforms(results: DataFrame, path: str) -> None:
     line = F.format_string("%.12f %.12f %.12f %.12f", *[F.element_at("m", F.col("r") * 4 + k + 1) for k in range(4)])
     order = Window.orderBy("pair_idx", "r")
     rows.withColumn("n", F.row_number().over(order)).orderBy("n").select(line.alias("value")).coalesce(1).write.text(path)
+
+
+def write_scores(scores: DataFrame, summary: DataFrame, path: str) -> None:
+    """Both tables of a scoring as CSV, ``path``/pairs and ``path``/summary."""
+    pair = F.concat_ws("->", "source", "target").alias("pair")
+    scores.orderBy("pair_idx").select(pair, "rotation_error", "translation_error", F.col("rmse").alias("RMSE"), F.col("median_error").alias("MeE"), "time_s", "success").coalesce(1).write.option("header", True).csv(f"{path}/pairs")
+    summary.coalesce(1).write.option("header", True).csv(f"{path}/summary")

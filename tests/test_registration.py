@@ -131,8 +131,8 @@ def test_heaviest_clique_is_the_brute_force_one(seed, n):
         for c in itertools.combinations(range(n), size):
             if all(p in w for p in itertools.combinations(c, 2)):
                 best = max(best, sum(w[p] for p in itertools.combinations(c, 2)))
-    members, weight, cut = M.heaviest_clique(w, n)
-    assert not cut and math.isclose(weight, best, abs_tol=1e-12)
+    members, weight = M.heaviest_clique(w, n)
+    assert math.isclose(weight, best, abs_tol=1e-12)
     assert all(p in w for p in itertools.combinations(members, 2))
 
 
@@ -188,3 +188,60 @@ def test_tables(spark, tmp_path):
     tables.write_transforms(results, f"{tmp_path}/m")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/m").collect()]
     assert len(lines) == 8 and lines[0].startswith("1.000000000000 ") and lines[7].startswith("-1.0")
+
+
+def test_large_clique_graphs_are_searched_to_the_end():
+    r = random.Random(2)
+    n = 300
+    w = {(i, j): r.uniform(0.1, 1) for j in range(n) for i in range(j) if r.random() < 0.1}
+    planted = r.sample(range(n), 30)
+    w |= {(min(i, j), max(i, j)): 0.9 for i in planted for j in planted if i != j}
+    members, weight = M.heaviest_clique(w, n)
+    assert set(planted) <= set(members) and weight >= 0.9 * 30 * 29 / 2 - 1e-9
+    size = 1500  # deeper than Python's own stack
+    assert len(M.heaviest_clique({(i, j): 1.0 for j in range(size) for i in range(j)}, size)[0]) == size
+    assert M.heaviest_clique({}, 5) == ([], 0.0) and M.heaviest_clique({}, 0) == ([], 0.0)
+
+
+def test_thinning_holds_no_image():
+    r = np.random.default_rng(4)
+    row, col = np.meshgrid(np.arange(10**6, 10**6 + 8), np.arange(5, 60))
+    row, col = np.append(row.ravel(), 0), np.append(col.ravel(), 10**9 - 1)
+    order = r.permutation(len(row))
+    stay = P.thin_pixels(row[order], col[order], 10**9, 10**9)
+    small = np.zeros((12, 70), bool)
+    small[2:10, 5:60] = True
+    assert stay.sum() == P.thin_image(small).sum() + 1
+
+
+def test_pairs_that_fail_say_why(spark):
+    flat = [(float(x), float(y), 0.0) for x in np.arange(-2, 2, 0.1) for y in np.arange(-2, 2, 0.1)]
+    points = frame(spark, {"a": flat, "b": flat})
+    pairs = spark.createDataFrame([("p", "a", "b"), ("q", "a", "gone")], "pair_id string, source string, target string")
+    got = {r.pair_id: r for r in PointCloudEngine(spark, Params(resolution=0.1)).register(points, pairs).collect()}
+    assert not got["p"].success and got["p"].reason == "no crossing lines in a scan"
+    assert not got["q"].success and got["q"].reason == "no points: gone" and got["q"].transform is None
+
+
+def test_scoring_of_a_data_set(spark, tmp_path):
+    from strataform.evaluate import evaluate
+
+    for part in ("gt", "raw"):
+        (tmp_path / part).mkdir()
+    xyz = np.array([[0, 0, 0], [3, 0, 0], [0, 4, 0]], np.float32)
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    for k in range(4):
+        (tmp_path / "raw" / f"{k}.ply").write_bytes(head + xyz.tobytes())
+    (tmp_path / "gt" / "t.txt").write_text("1 0 0 1\n0 1 0 0\n0 0 1 0\n0 0 0 1\n")
+    pairs = "".join(f"  - {{source: {k}.ply, target: {k + 1}.ply, transformation_file: {'t.txt' if k < 2 else 'none.txt'}}}\n" for k in range(3))
+    (tmp_path / "c.yaml").write_text(f"dataset_name: d\nroot: {tmp_path}\ngroundtruth: gt\nraw_data: raw\npairs:\n{pairs}")
+    (tmp_path / "est.txt").write_text("1 0 0 1.5\n0 1 0 0\n0 0 1 0\n0 0 0 1\n" * 2 + "-1 -1 -1 -1\n" * 4)
+    (tmp_path / "r.csv").write_text("Pair_ID, Source, Target, Rotation_Error(deg), Translation_Error(m), Time(ms)\n0, 0.ply, 1.ply, 0, 0, 2\n1, 1.ply, 2.ply, 0, 0, 0\n")
+    scores, summary = evaluate(spark, f"{tmp_path}/c.yaml", f"{tmp_path}/est.txt", 5, 2, f"{tmp_path}/r.csv")
+    got = [tuple(r) for r in scores.orderBy("pair_idx").select("translation_error", "rmse", "median_error", "time_s", "success").collect()]
+    assert got == [(0.5, 0.5, 0.5, 2.0, True), (0.5, 0.5, 0.5, 0.0, False), (None, None, None, None, False)]
+    one = summary.first()
+    assert (one.pairs, one.successes, one.mean_rmse, one.mean_median_error, one.mean_time_s) == (3, 1, 0.5, 0.5, 1.0)
+    tables.write_scores(scores, summary, f"{tmp_path}/out")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/pairs").collect()]
+    assert lines[0] == "pair,rotation_error,translation_error,RMSE,MeE,time_s,success" and len(lines) == 4
