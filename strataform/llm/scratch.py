@@ -1,38 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""The library's intermediate tables."""
 
-A written table cuts lineage and survives the loss of an executor, as its files
-belong to no executor. ``spark.checkpoint.dir`` names the folder; only a local
-session, whose driver and executors share a disk, may go without it.
-"""
+from strataform.scratch import clear, mark, release, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder; raises on a cluster that does not name one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/strataform-scratch"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back with its own schema."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/strataform/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete every intermediate table; call it once no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/strataform")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["clear", "mark", "release", "written"]
