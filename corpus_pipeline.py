@@ -73,8 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what led to it is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = scratch.mark()
     for name, stage in STAGES:
         docs = scratch.written(stage(spark, docs, sf_dir), name)
+        scratch.release(spark, began)
     return docs
