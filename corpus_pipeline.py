@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, folder of tables) and gives a table, which is
 written and read again before the next. All but the last give the columns of
-``documents``.
+``documents`` and drop any others, whatever their names. Ids may be null or repeat:
+rows are filtered and copied as they are, and a null id is no duplicate of another.
+Whole texts are read, however long; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,25 +29,45 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learnt language: those without a letter, or like no profile, go."""
+    """Documents in some learnt language: those without a letter, or like no profile, go.
+
+    Null and empty texts have no letter and go. Rows with a null language are judged
+    like others, by profiles of the labelled ones; without any label all go. Of
+    languages equally near the first in order counts, which drops nothing. Repeated
+    rows are judged alike.
+    """
     profiles = language_id.learn(docs.filter(~language_id.held_out("doc_id")))
     found = language_id.predict(docs.select(F.struct(*COLUMNS).alias("doc")), profiles, id_col="doc", inside="text")
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near-duplicates on 5-word shingles at similarity 0.8."""
+    """One document, that of smallest id, of each group of near-duplicates on 5-word shingles at similarity 0.8.
+
+    Null and empty texts have no shingle and stay, as do rows with a null id.
+    Repeated rows of one id are one document and stay or go together.
+    """
     return _without(docs, near_dedup.near_duplicates(docs, shingle_words=5, similarity=(80, 100)).filter("NOT kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no 10-word window of the benchmark."""
+    """Documents that hold no 10-word window of the benchmark, nor an item of fewer words.
+
+    Null and empty texts hold none and stay, as do rows with a null id. Rows of one
+    id go together. An empty benchmark drops nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate.contamination(docs, benchmark, window=10).filter("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, each time as a row."""
+    """Documents as often as the mix takes them, each time as a row.
+
+    A null source is a source of its own. Null and empty texts have no words: they
+    come as often as the whole epochs of their source, and cost nothing. Rows of one
+    id, or of none, are documents of their own with the same key; which of them goes
+    first is by their row.
+    """
     rated = rating_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # ids may be null or repeat: a written key of its own leads each row's copies back to it
     keyed = scratch.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed")
@@ -56,7 +78,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of 2,048 token ids."""
+    """Packed sequences of 2,048 token ids: the columns of ``token_packing.pack``.
+
+    Null and empty texts have no tokens; each copy of a row is packed for itself.
+    """
     return token_packing.pack(docs)
 
 
