@@ -559,3 +559,47 @@ def test_nearest_of_doubles_with_a_sample_of_few_rows_and_two_levels(spark, monk
     assert queries_n == 200 and recall >= 0.9
     ties = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(30)], "vec_id bigint, embedding array<double>")
     assert [x.vec_id for x in nearest.search(ties).orderBy("rank").collect()] == [3, 6, 9, 12, 15, 18, 21, 24, 27, 1]
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as C
+
+    folder = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").filter("text IS NOT NULL").orderBy("item_id").first().text
+    same = "a document of a few plain words that is here more than once, as it stands"
+    rows = [(1, same), (2, same), (None, same), (3, None), (4, ""), (5, "123 %%%"), (6, leak + " and more"), (7, "another text of its own, in words that no other has"), (7, "another text of its own, in words that no other has"), (None, leak)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, row string, size string, copies int, weight string"
+    docs = spark.createDataFrame([(k, t, "en" if k != 7 else None, "s" if k else None, 1, "x", "y", "z", 9, "w") for k, t in rows], schema).repartition(3)
+    stages = dict(C.STAGES)
+    told = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    given = Counter(rows)
+    want = {
+        "language_id": given - Counter([(3, None), (4, ""), (5, "123 %%%")]),
+        "near_dedup": given - Counter([(2, same)]),
+        "decontamination": given - Counter([(6, leak + " and more")]),
+    }
+    for name, expected in want.items():
+        out = stages[name](spark, docs, folder)
+        assert out.columns == list(C.COLUMNS) and told(out) == expected, name
+    mix = stages["mixing"](spark, docs, folder)
+    assert mix.columns == list(C.COLUMNS) and set(told(mix)) <= set(given)
+    for name, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+def test_language_ties_go_to_the_first_in_order(spark):
+    one = spark.createDataFrame([(1, "abc abc")], "doc_id bigint, text string")
+    grams = language_id.learn(one.withColumn("lang", F.lit("x")))["x"]
+    got = language_id.predict(one, {"b": grams, "a": grams}).first()
+    assert got.lang_pred == "a" and got.score > 0
+
+
+def test_mix_of_hot_and_null_ids(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("one two three").alias("text"), F.expr("CASE WHEN id % 2 = 0 THEN 'a' WHEN id % 5 > 0 THEN 'b' END").alias("source"))
+    rows = mixing.mix(docs.repartition(4)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+        assert r.taken <= 3 * r.size
+    assert len(rows) == 3000 and all(abs(sum(r.taken for r in v) - v[0].target) <= 3 for v in by.values())
