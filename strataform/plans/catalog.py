@@ -58,13 +58,21 @@ _STATS = """stats AS (SELECT cloud_id, vx, vy, vz, count(*) AS n, avg(x) AS cx,
   FROM binned GROUP BY ALL HAVING count(*) >= 3)"""
 
 
+# written out here, apart from the code under test: the characteristic polynomial's roots by the cosine formula
+_EIGEN = [
+    "e0 AS (SELECT *, sxx + syy + szz AS tr, sxx * syy + sxx * szz + syy * szz - sxy * sxy - sxz * sxz - syz * syz AS mid FROM stats)",
+    "e1 AS (SELECT *, sxx * syy * szz + 2 * sxy * sxz * syz - sxx * syz * syz - syy * sxz * sxz - szz * sxy * sxy AS dt FROM e0)",
+    "e2 AS (SELECT *, greatest(tr * tr - 3 * mid, 0.0) AS pp FROM e1)",
+    "e3 AS (SELECT *, 2 * tr * tr * tr - 9 * tr * mid + 27 * dt AS qq FROM e2)",
+    "e4 AS (SELECT *, CASE WHEN pp = 0 THEN 0.0 ELSE acos(greatest(-1.0, least(1.0, qq / (2 * pp * sqrt(pp))))) / 3 END AS ang FROM e3)",
+    "e5 AS (SELECT *, (tr + 2 * sqrt(pp) * cos(ang)) / 3 AS l0, (tr + 2 * sqrt(pp) * cos(ang + 2 * pi() / 3)) / 3 AS l2 FROM e4)",
+    "e6 AS (SELECT *, tr - l0 - l2 AS l1 FROM e5)",
+    "flat AS (SELECT * FROM e6 WHERE 30 * l2 < l1 AND l0 < 6 * l1)",
+]
+
+
 def _steps() -> list[str]:
-    steps, last = [], "stats"
-    for k, (name, step) in enumerate(G.eigenvalues("sxx", "syy", "szz", "sxy", "sxz", "syz").items()):
-        steps.append(f"e{k} AS (SELECT *, {step} AS {name} FROM {last})")
-        last = f"e{k}"
-    steps.append(f"flat AS (SELECT * FROM {last} WHERE 30 * l2 < l1 AND l0 < 6 * l1)")
-    return steps
+    return _EIGEN
 
 
 _LAST = "e6"
@@ -163,8 +171,10 @@ def _fore(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d, FOREGROUND).filter("value").select("cloud_id", "row", "col")
 
 
+# fixed values, written out apart from the code under test: neighbours 0..7, anticlockwise from the right, rows growing down
+_RING = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
 _MASKS = f"""masks AS (SELECT f.cloud_id, f.row, f.col, coalesce(sum(o.bit), 0)::BIGINT AS mask
-  FROM fore f LEFT JOIN (SELECT g.cloud_id, g.row - n.dr AS row, g.col - n.dc AS col, n.bit FROM fore g, (VALUES {", ".join(f"({r}, {c}, {1 << k})" for k, (r, c) in enumerate(P.NEIGHBOURS))}) n(dr, dc, bit)) o
+  FROM fore f LEFT JOIN (SELECT g.cloud_id, g.row - n.dr AS row, g.col - n.dc AS col, n.bit FROM fore g, (VALUES {", ".join(f"({r}, {c}, {1 << k})" for k, (r, c) in enumerate(_RING))}) n(dr, dc, bit)) o
   ON o.cloud_id = f.cloud_id AND o.row = f.row AND o.col = f.col GROUP BY ALL)"""
 
 
@@ -173,9 +183,16 @@ def neighbor_mask(spark: SparkSession, d: str) -> DataFrame:
     return P.neighbour_masks(_fore(spark, d))
 
 
+# one pass from its published conditions: x crossings, n1 and n2 neighbour pairs, and the open side
+_THIN = """bits AS (SELECT cloud_id, row, col, width, height, mask & 1 AS b0, mask >> 1 & 1 AS b1, mask >> 2 & 1 AS b2, mask >> 3 & 1 AS b3, mask >> 4 & 1 AS b4, mask >> 5 & 1 AS b5, mask >> 6 & 1 AS b6, mask >> 7 & 1 AS b7
+  FROM masks JOIN image USING (cloud_id)),
+judged AS (SELECT *, (1 - b0) * (b1 | b2) + (1 - b2) * (b3 | b4) + (1 - b4) * (b5 | b6) + (1 - b6) * (b7 | b0) AS x,
+  (b0 | b1) + (b2 | b3) + (b4 | b5) + (b6 | b7) AS n1, (b1 | b2) + (b3 | b4) + (b5 | b6) + (b7 | b0) AS n2, (b1 | b2 | (1 - b7)) & b0 AS closed FROM bits)"""
+
+
 @query(
-    _with("points", _BOX, _IMAGE, _PIXELS, _FORE, _MASKS)
-    + f"SELECT cloud_id, row, col FROM masks JOIN image USING (cloud_id) WHERE NOT (row BETWEEN 1 AND height - 2 AND col BETWEEN 1 AND width - 2 AND [{', '.join(map(str, P.removable(True)))}][mask + 1])"
+    _with("points", _BOX, _IMAGE, _PIXELS, _FORE, _MASKS, _THIN)
+    + "SELECT cloud_id, row, col FROM judged WHERE NOT (row BETWEEN 1 AND height - 2 AND col BETWEEN 1 AND width - 2 AND x = 1 AND least(n1, n2) BETWEEN 2 AND 3 AND closed = 0)"
 )
 def thin_one_pass(spark: SparkSession, d: str) -> DataFrame:
     return P.thin_once(_fore(spark, d), _images(spark, d))
