@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform import scratch
 from strataform.functions import geometry as G
 
 
@@ -16,6 +17,35 @@ def success(rotation: Column, translation: Column, max_rotation: float, max_tran
     return F.coalesce(good, F.lit(False))
 
 
+CELLS, LEVELS = 1024, 2
+
+
+def medians(values: DataFrame, key: str, value: str) -> DataFrame:
+    """Exact median of every key: key, median. Null and NaN values do not count.
+
+    The one or two middle ranks are found by counting: the range that holds a rank is
+    cut into cells, and only the cell that holds it is cut again, so a key with most
+    of the rows is never sorted in one task; what is left at the end is one cell of
+    the last cut. ``values`` is read a few times and should be a table.
+    """
+    given = values.select(key, F.col(value).alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    told = given.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)))).alias("rank")
+    asked = told.select(key, ranks, "low", "high", F.lit(0).cast("bigint").alias("before"))
+    for _ in range(LEVELS):
+        asked = scratch.written(asked, "ranks")
+        inside = given.join(asked, key).filter("v BETWEEN low AND high")
+        part = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS)).otherwise(0)
+        cells = inside.groupBy(key, "rank", "before", part.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(key, "rank").orderBy("cell"))
+        asked = cells.withColumn("upto", upto).filter("upto > rank AND upto - n <= rank").select(key, "rank", "low", "high", (F.col("upto") - F.col("n")).alias("before"))
+    asked = scratch.written(asked, "ranks")
+    order = Window.partitionBy(key, "rank").orderBy("v")
+    left = given.join(asked.filter("low < high"), key).filter("v BETWEEN low AND high").withColumn("at", F.col("before") + F.row_number().over(order) - 1)
+    found = left.filter("at = rank").select(key, "v").unionAll(asked.filter("low = high").select(key, F.col("low").alias("v")))
+    return found.groupBy(key).agg(F.avg("v").alias("median"))
+
+
 def residuals(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """RMSE and exact median of the distances between points under both transforms: pair_idx, n, rmse, median_error.
 
@@ -24,8 +54,9 @@ def residuals(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     x, y, z = (F.col(c).cast("double") for c in "xyz")
     a, b = G.moved(F.col("truth"), x, y, z), G.moved(F.col("estimate"), x, y, z)
     error = F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0)))
-    joined = points.join(pairs, key).withColumn("error", error)
-    return joined.groupBy("pair_idx").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.median("error").alias("median_error"))
+    joined = scratch.written(points.join(pairs, key).select("pair_idx", error.alias("error")), "errors")
+    sums = joined.groupBy("pair_idx").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
+    return sums.join(medians(joined, "pair_idx", "error").withColumnRenamed("median", "median_error"), "pair_idx", "left")
 
 
 def scored(pairs: DataFrame, points: DataFrame, times: DataFrame, key: str, time_key: str | list[str], max_rotation: float, max_translation: float) -> DataFrame:

@@ -13,6 +13,7 @@ from strataform.functions import geometry as G
 from strataform.operators import lines as L
 from strataform.operators import matching as M
 from strataform.operators import pixels as P
+from strataform.operators import scoring as C
 from strataform.operators import solve as S
 from strataform.operators import voxels as V
 from strataform.params import Params
@@ -245,3 +246,14 @@ def test_scoring_of_a_data_set(spark, tmp_path):
     tables.write_scores(scores, summary, f"{tmp_path}/out")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/out/pairs").collect()]
     assert lines[0] == "pair,rotation_error,translation_error,RMSE,MeE,time_s,success" and len(lines) == 4
+
+
+def test_medians_equal_numpy(spark):
+    r = np.random.default_rng(6)
+    groups = {
+        1: r.normal(size=5001), 2: r.normal(size=5000) ** 9, 3: np.full(1000, 2.5), 4: np.array([1.0]), 5: np.array([1.0, 4.0]), 6: np.repeat([0.0, 1e12], [700, 300]),
+        7: np.concatenate([np.zeros(500), np.arange(500) + 1.0]), 8: np.array([0.0, 5e-324, 1.0]),
+    }
+    rows = [(k, float(v)) for k, g in groups.items() for v in g] + [(1, None), (4, float("nan")), (9, None)]
+    got = {x.k: x.median for x in C.medians(spark.createDataFrame(rows, "k int, v double").repartition(5), "k", "v").collect()}
+    assert got == {k: float(np.median(g)) for k, g in groups.items()}
