@@ -149,7 +149,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     start again from 0), n_tokens, and ids: a matrix row of ``length`` little-endian
     ids (16 bits if the vocabulary allows, else 32), padded with the first free id.
     Null and empty texts have no tokens and appear in no sequence. Repeated rows
-    are separate documents. An empty table gives an empty result; other columns are
+    are separate documents. Ids are integers; a null id stays null. Texts of any
+    length are encoded whole and cut. An empty table gives an empty result; other columns are
     ignored, whatever their names. ``vocabulary`` must be at the same path on all
     executors.
     """
@@ -157,7 +158,3 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     schema = "doc_ids array<bigint>, doc_offsets array<bigint>, cu_seqlens array<int>, position_resets array<int>, n_tokens int, ids binary"
     return W.over(rows, _pack(vocabulary, length, pool), schema)
 
-
-def write(packed: DataFrame, path: str) -> None:
-    """The matrix rows with their segment tables as Parquet, one file a task."""
-    packed.write.parquet(path)
