@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.functions import geometry as G
@@ -260,19 +260,45 @@ def _slots(spark: SparkSession, d: str) -> DataFrame:
     return L.slots(nodes, lines, L.edges(nodes, lines))
 
 
-@query()
+def _turn(x: str) -> str:
+    return f"CASE WHEN ({x}) % 360 < 0 THEN ({x}) % 360 + 360 ELSE ({x}) % 360 END"
+
+
+# four directions of a node by falling angle, the turn whose opposite sectors fit its angle best, edges to their nearest direction
+_SLOTS = f"""dirs AS (SELECT n.cloud_id, n.id, n.angle AS acute, l.line_id, {_turn('degrees(atan2(-l.a, l.b)) + back')} AS way
+  FROM nodes n JOIN lines l ON l.cloud_id = n.cloud_id AND (l.line_id = n.line0 OR l.line_id = n.line1), (VALUES (0.0::DOUBLE), (180.0::DOUBLE)) h(back)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, id ORDER BY way DESC, line_id) - 1 AS k FROM dirs),
+sectors AS (SELECT p.cloud_id, p.id, p.k, p.acute, {_turn('p.way - q.way')} AS sector FROM placed p JOIN placed q ON q.cloud_id = p.cloud_id AND q.id = p.id AND q.k = (p.k + 1) % 4),
+starts AS (SELECT p.cloud_id, p.id, p.k AS start FROM sectors p JOIN sectors q ON q.cloud_id = p.cloud_id AND q.id = p.id AND q.k = (p.k + 2) % 4
+  QUALIFY row_number() OVER (PARTITION BY p.cloud_id, p.id ORDER BY round(abs(p.sector - p.acute) + abs(q.sector - p.acute), 9), p.k) = 1),
+choices AS (SELECT p.cloud_id, p.id, (p.k - start + 4) % 4 AS slot, way, line_id FROM placed p JOIN starts USING (cloud_id, id)),
+going AS (SELECT e.cloud_id, e.a AS u, e.b AS v, {_turn('degrees(atan2(n.y - m.y, n.x - m.x))')} AS heading
+  FROM (SELECT cloud_id, u AS a, v AS b FROM edges WHERE length > 0 UNION ALL SELECT cloud_id, v, u FROM edges WHERE length > 0) e
+  JOIN nodes m ON m.cloud_id = e.cloud_id AND m.id = e.a JOIN nodes n ON n.cloud_id = e.cloud_id AND n.id = e.b),
+fitted AS (SELECT g.cloud_id, g.u, g.v, c.slot FROM going g JOIN choices c ON c.cloud_id = g.cloud_id AND c.id = g.u
+  QUALIFY row_number() OVER (PARTITION BY g.cloud_id, g.u, g.v ORDER BY round(abs({_turn('g.heading - c.way + 180')} - 180), 9), c.slot) = 1),
+latest AS (SELECT cloud_id, u AS id, slot, max(v) AS neighbour FROM fitted GROUP BY ALL)"""
+
+
+@query(_with("lines", _CROSS, _NODES, _EDGES, _SLOTS) + f"SELECT cloud_id, id, slot, {_r('way angle')}, line_id, neighbour FROM choices LEFT JOIN latest USING (cloud_id, id, slot)")
 def node_slots(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_slots(spark, d))
 
 
+def _pair() -> Column:
+    return F.substring_index("cloud_id", "/", 1)
+
+
 def _side(spark: SparkSession, d: str, side: str) -> DataFrame:
-    return _nodes(spark, d).filter(F.col("cloud_id") == side).withColumn("pair_id", F.lit("p"))
+    return _nodes(spark, d).filter(F.substring_index("cloud_id", "/", -1) == side).withColumn("pair_id", _pair())
 
 
-_SEEDS = f"""seeds AS (SELECT 'p' AS pair_id, s.id AS src, t.id AS tgt, exp(-pow(abs(s.angle - t.angle), 2) / {2 * ANGLE * ANGLE}) AS score, s.x AS sx, s.y AS sy, t.x AS tx, t.y AS ty, s.is_right AND t.is_right AS both_right
-  FROM nodes s, nodes t WHERE s.cloud_id = 'src' AND t.cloud_id = 'tgt' AND abs(s.angle - t.angle) <= {ANGLE})"""
-_RANKED = """ranked AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, src, tgt) AS rank FROM seeds)
-  WHERE rank <= greatest(1, ceil(0.2::DOUBLE * (SELECT count(*) FROM nodes WHERE cloud_id = 'src') * (SELECT count(*) FROM nodes WHERE cloud_id = 'tgt'))))"""
+_SEEDS = f"""sided AS (SELECT *, split_part(cloud_id, '/', 1) AS pair_id, split_part(cloud_id, '/', 2) AS side FROM nodes),
+seeds AS (SELECT pair_id, s.id AS src, t.id AS tgt, exp(-pow(abs(s.angle - t.angle), 2) / {2 * ANGLE * ANGLE}) AS score, s.x AS sx, s.y AS sy, t.x AS tx, t.y AS ty, s.is_right AND t.is_right AS both_right
+  FROM sided s JOIN sided t USING (pair_id) WHERE s.side = 'src' AND t.side = 'tgt' AND abs(s.angle - t.angle) <= {ANGLE})"""
+_RANKED = """ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(score, 9) DESC, src, tgt) AS rank FROM seeds)
+  JOIN (SELECT pair_id, count(*) FILTER (side = 'src') * count(*) FILTER (side = 'tgt') AS most FROM sided GROUP BY pair_id) USING (pair_id)
+  WHERE rank <= greatest(1, ceil(0.2::DOUBLE * most)))"""
 _GRAPH = ("lines", _CROSS, _NODES, _SEEDS)
 
 
@@ -302,89 +328,66 @@ def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.distances(_nodes(spark, d)))
 
 
-def _matches(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+def _matches(spark: SparkSession, d: str) -> DataFrame:
     at = lambda side, k, c: _side(spark, d, side).select("pair_id", F.col("id").alias(k), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
-    best = _ranked(spark, d)
-    best = best if most is None else best.filter(F.col("rank") <= most)
-    return best.join(at("src", "src", "s"), ["pair_id", "src"]).join(at("tgt", "tgt", "t"), ["pair_id", "tgt"]).withColumn("k", F.col("rank"))
+    return _ranked(spark, d).join(at("src", "src", "s"), ["pair_id", "src"]).join(at("tgt", "tgt", "t"), ["pair_id", "tgt"]).withColumn("k", F.col("rank"))
 
 
 _SIMILAR = f"""similar_pairs AS (SELECT p.pair_id, p.rank AS i, q.rank AS j, abs(sqrt(pow(p.sx - q.sx, 2) + pow(p.sy - q.sy, 2)) - sqrt(pow(p.tx - q.tx, 2) + pow(p.ty - q.ty, 2))) AS d
-  FROM ranked p JOIN ranked q ON p.rank < q.rank AND q.rank <= {{most}}),
+  FROM ranked p JOIN ranked q ON p.pair_id = q.pair_id AND p.rank < q.rank),
 weights AS (SELECT pair_id, i, j, CASE WHEN d <= {LENGTH} THEN exp(-d * d / {2 * LENGTH * LENGTH}) ELSE -1.0::DOUBLE END AS weight FROM similar_pairs)"""
 
 
-@query(_with(*_GRAPH, _RANKED, _SIMILAR.format(most=200)) + f"SELECT pair_id, i, j, {_r('weight weight')} FROM weights")
+@query(_with(*_GRAPH, _RANKED, _SIMILAR) + f"SELECT pair_id, i, count(*) AS n, count(*) FILTER (weight > 0) AS links, {_r('sum(weight) weight')} FROM weights GROUP BY pair_id, i")
 def distance_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.similarity(_matches(spark, d, 200), LENGTH))
+    """The whole triangle of similarities of every pair's ranked seeds, told by its rows: three million cells a pair."""
+    rows = M.similarity(_matches(spark, d), LENGTH).groupBy("pair_id", "i")
+    return rounded(rows.agg(F.count("*").alias("n"), F.count_if(F.col("weight") > 0).alias("links"), F.sum("weight").alias("weight")))
 
 
-@query(_with(*_GRAPH, _RANKED, _SIMILAR.format(most=200)) + f"SELECT pair_id, i % 5 AS part, count(*) AS links, {_r('sum(weight) weight')} FROM weights WHERE i % 5 = j % 5 AND weight > 0 GROUP BY ALL")
+@query(_with(*_GRAPH, _RANKED, _SIMILAR) + f"SELECT pair_id, count(*) AS links, {_r('sum(weight) weight')} FROM weights WHERE weight > 0 GROUP BY pair_id")
 def clique_weight(spark: SparkSession, d: str) -> DataFrame:
-    similar = M.similarity(_matches(spark, d, 200), LENGTH).filter("weight > 0 AND i % 5 = j % 5")
-    return rounded(similar.groupBy("pair_id", (F.col("i") % 5).alias("part")).agg(F.count("*").alias("links"), F.sum("weight").alias("weight")))
-
-
-# over all ranked seeds; the queries of the same name without _all have SQL, which stops at a rank
-@query()
-def distance_similarity_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.similarity(_matches(spark, d), LENGTH))
-
-
-@query()
-def clique_weight_all(spark: SparkSession, d: str) -> DataFrame:
     similar = M.similarity(_matches(spark, d), LENGTH).filter("weight > 0")
     return rounded(similar.groupBy("pair_id").agg(F.count("*").alias("links"), F.sum("weight").alias("weight")))
 
 
-@query(
-    "WITH RECURSIVE "
-    + _with(*_GRAPH, _RANKED, _SIMILAR.format(most=24))[5:]
-    + f""", links AS (SELECT * FROM weights WHERE weight > 0),
-grown AS (SELECT pair_id, [i] AS members, 0.0::DOUBLE AS weight FROM (SELECT pair_id, i FROM links UNION SELECT pair_id, j FROM links)
-  UNION ALL
-  SELECT g.pair_id, list_append(g.members, n.j), g.weight + n.w FROM grown g JOIN LATERAL (
-    SELECT l.j, sum(l.weight) AS w, count(*) AS c FROM links l WHERE list_contains(g.members, l.i) AND l.j > g.members[-1] GROUP BY l.j) n ON n.c = len(g.members))
-SELECT pair_id, {_r('max(weight) weight')}, false AS truncated FROM grown GROUP BY pair_id"""
-)
-def max_weight_clique(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.cliques(M.similarity(_matches(spark, d, 24), LENGTH)).drop("members")).withColumn("truncated", F.lit(False))
+def _subgraphs(spark: SparkSession, d: str) -> DataFrame:
+    own = _slots(spark, d).groupBy("cloud_id", "id").agg(F.sort_array(F.collect_list(F.struct("slot", "neighbour"))).alias("s"))
+    side = F.substring_index("cloud_id", "/", -1).alias("side")
+    graphs = _nodes(spark, d).join(own, ["cloud_id", "id"]).select(_pair().alias("pair_id"), side, "id", "x", "y", "angle", "is_right", F.col("s.neighbour").alias("slots"))
+    return M.match(graphs, _ranked(spark, d), LENGTH, ANGLE).select("pair_id", "candidate", "weight", F.size("matches").alias("size"), F.explode("matches").alias("m"))
 
 
 @query()
 def congruent_subgraphs(spark: SparkSession, d: str) -> DataFrame:
-    own = _slots(spark, d).groupBy("cloud_id", "id").agg(F.sort_array(F.collect_list(F.struct("slot", "neighbour"))).alias("s"))
-    graphs = _nodes(spark, d).join(own, ["cloud_id", "id"]).select(F.lit("p").alias("pair_id"), F.col("cloud_id").alias("side"), "id", "x", "y", "angle", "is_right", F.col("s.neighbour").alias("slots"))
-    found = M.match(graphs, _ranked(spark, d), LENGTH, ANGLE)
-    return rounded(found.select("pair_id", "candidate", "weight", F.size("matches").alias("size"), F.explode("matches").alias("m")).select("pair_id", "candidate", "weight", "size", "m.src", "m.tgt"))
+    return rounded(_subgraphs(spark, d).select("pair_id", "candidate", "weight", "size", "m.src", "m.tgt"))
 
 
-_FIT = """sums AS (SELECT count(*) AS n, avg(sx) AS a, avg(sy) AS b, avg(tx) AS c, avg(ty) AS d, avg(sx * tx) AS ac, avg(sx * ty) AS ad, avg(sy * tx) AS bc, avg(sy * ty) AS bd FROM ranked WHERE rank <= 200),
-turn AS (SELECT *, atan2((ad - a * d) - (bc - b * c), (ac - a * c) + (bd - b * d)) AS yaw FROM sums),
-fit AS (SELECT n, yaw, c - (cos(yaw) * a - sin(yaw) * b) AS dx, d - (sin(yaw) * a + cos(yaw) * b) AS dy FROM turn)"""
+@query()
+def max_weight_clique(spark: SparkSession, d: str) -> DataFrame:
+    """The heaviest clique among all matches of every pair's candidates, searched to its end."""
+    found = _subgraphs(spark, d).select("pair_id", "m.*").distinct()
+    order = Window.partitionBy("pair_id").orderBy("src", "tgt")
+    best = M.cliques(M.similarity(found.withColumn("k", F.row_number().over(order)), LENGTH))
+    return rounded(best.select("pair_id", F.size("members").cast("bigint").alias("size"), "weight"))
 
 
-@query(_with(*_GRAPH, _RANKED, _FIT) + f"SELECT 'p' AS pair_id, n, {_r('yaw yaw', 'dx dx', 'dy dy')} FROM fit")
-def rigid2d_fit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.rigid2d(_matches(spark, d, 200), "pair_id"))
+_FIT = """sums AS (SELECT pair_id, count(*) AS n, avg(sx) AS a, avg(sy) AS b, avg(tx) AS c, avg(ty) AS d, avg(sx * tx) AS ac, avg(sx * ty) AS ad, avg(sy * tx) AS bc, avg(sy * ty) AS bd FROM ranked GROUP BY pair_id),
+turn AS (SELECT *, atan2((ad - a * d) - (bc - b * c), (ac - a * c) + (bd - b * d)) AS yaw FROM sums),
+fit AS (SELECT pair_id, n, yaw, c - (cos(yaw) * a - sin(yaw) * b) AS dx, d - (sin(yaw) * a + cos(yaw) * b) AS dy FROM turn)"""
 
 
-@query()
-def rigid2d_fit_all(spark: SparkSession, d: str) -> DataFrame:
+@query(_with(*_GRAPH, _RANKED, _FIT) + f"SELECT pair_id, n, {_r('yaw yaw', 'dx dx', 'dy dy')} FROM fit")
+def rigid2d_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.rigid2d(_matches(spark, d), "pair_id"))
 
 
 @query(
     _with(*_GRAPH, _RANKED, _FIT)
-    + f"""SELECT 'p' AS pair_id, count(*) AS inliers FROM (SELECT cos(yaw) * x - sin(yaw) * y + dx AS x, sin(yaw) * x + cos(yaw) * y + dy AS y FROM nodes, fit WHERE cloud_id = 'src') s
-WHERE EXISTS (SELECT 1 FROM nodes t WHERE t.cloud_id = 'tgt' AND pow(s.x - t.x, 2) + pow(s.y - t.y, 2) <= {LENGTH * LENGTH})"""
+    + f"""SELECT pair_id, count(*) AS inliers FROM (SELECT pair_id, cos(yaw) * x - sin(yaw) * y + dx AS x, sin(yaw) * x + cos(yaw) * y + dy AS y FROM sided JOIN fit USING (pair_id) WHERE side = 'src') s
+WHERE EXISTS (SELECT 1 FROM sided t WHERE t.side = 'tgt' AND t.pair_id = s.pair_id AND pow(s.x - t.x, 2) + pow(s.y - t.y, 2) <= {LENGTH * LENGTH}) GROUP BY pair_id"""
 )
 def inlier_count(spark: SparkSession, d: str) -> DataFrame:
-    return _inliers(spark, d, _matches(spark, d, 200))
-
-
-@query()
-def inlier_count_all(spark: SparkSession, d: str) -> DataFrame:
     return _inliers(spark, d, _matches(spark, d))
 
 
@@ -535,15 +538,15 @@ def point_ordinal(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _with("lines")
-    + f"""SELECT s.line_id AS i, t.line_id AS j, {_r('degrees(acos(least(1.0, abs(s.a * t.a + s.b * t.b)))) normal_angle',
+    + f"""SELECT split_part(s.cloud_id, '/', 1) AS pair_id, s.line_id AS i, t.line_id AS j, {_r('degrees(acos(least(1.0, abs(s.a * t.a + s.b * t.b)))) normal_angle',
         '(abs(s.a * (s.a * s.c - t.a * t.c) + s.b * (s.b * s.c - t.b * t.c)) / 2 + abs(t.a * (s.a * s.c - t.a * t.c) + t.b * (s.b * s.c - t.b * t.c)) / 2) plane_distance')}
-  FROM lines s JOIN lines t ON s.cloud_id = 'src' AND t.cloud_id = 'tgt'"""
+  FROM lines s JOIN lines t ON split_part(s.cloud_id, '/', 2) = 'src' AND t.cloud_id = concat(split_part(s.cloud_id, '/', 1), '/tgt')"""
 )
 def plane_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Every line as an upright plane through its foot, beside every line of the other side."""
-    foot = lambda side, k: views.lines(spark, d).filter(F.col("cloud_id") == side).select(
-        F.col("line_id").alias("i" if k == 1 else "j"), F.array("a", "b", F.lit(0.0)).alias(f"n{k}"), F.array(-F.col("a") * F.col("c"), -F.col("b") * F.col("c"), F.lit(0.0)).alias(f"c{k}")
+    """Every line as an upright plane through its foot, beside every line of its pair's other side."""
+    foot = lambda side, k: views.lines(spark, d).filter(F.substring_index("cloud_id", "/", -1) == side).select(
+        _pair().alias("pair_id"), F.col("line_id").alias("i" if k == 1 else "j"), F.array("a", "b", F.lit(0.0)).alias(f"n{k}"), F.array(-F.col("a") * F.col("c"), -F.col("b") * F.col("c"), F.lit(0.0)).alias(f"c{k}")
     )
-    both = foot("src", 1).join(foot("tgt", 2))
+    both = foot("src", 1).join(foot("tgt", 2), "pair_id")
     c1, n1, c2, n2 = (F.col(c) for c in ("c1", "n1", "c2", "n2"))
-    return rounded(both.select("i", "j", G.normal_angle(n1, n2).alias("normal_angle"), G.plane_distance(c1, n1, c2, n2).alias("plane_distance")))
+    return rounded(both.select("pair_id", "i", "j", G.normal_angle(n1, n2).alias("normal_angle"), G.plane_distance(c1, n1, c2, n2).alias("plane_distance")))

@@ -41,13 +41,14 @@ def points_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty lines for each of the sides src and tgt."""
+    """Every 40 customers make a pair of graphs, src and tgt, of twenty lines a side; cloud_id is pair/side."""
     key = F.col("c_custkey")
-    return _table(spark, sf_dir, "customer").filter("c_custkey < 40").select(
-        F.when(key % 2 == 0, "src").otherwise("tgt").alias("cloud_id"),
-        F.floor(key / 2).cast("int").alias("line_id"),
-        F.cos(F.pi() * key / 41.0).alias("a"),
-        F.sin(F.pi() * key / 41.0).alias("b"),
+    own = F.pmod(key, F.lit(40))
+    return _table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), F.floor(key / 40).cast("string"), F.lit("/"), F.when(own % 2 == 0, "src").otherwise("tgt")).alias("cloud_id"),
+        F.floor(own / 2).cast("int").alias("line_id"),
+        F.cos(F.pi() * own / 41.0).alias("a"),
+        F.sin(F.pi() * own / 41.0).alias("b"),
         (F.col("c_acctbal") / 2000.0).alias("c"),
     )
 
@@ -74,8 +75,8 @@ def runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "points": """points AS (SELECT concat('c', l_linenumber::VARCHAR) AS cloud_id, l_quantity AS x, l_extendedprice / 2000.0::DOUBLE AS y, l_discount * 100.0::DOUBLE AS z FROM lineitem)""",
     "points_small": """points_small AS (SELECT concat('e', label::VARCHAR) AS cloud_id, vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)""",
-    "lines": """lines AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'src' ELSE 'tgt' END AS cloud_id, floor(c_custkey / 2)::INT AS line_id,
-  cos(pi() * c_custkey / 41.0::DOUBLE) AS a, sin(pi() * c_custkey / 41.0::DOUBLE) AS b, c_acctbal / 2000.0::DOUBLE AS c FROM customer WHERE c_custkey < 40)""",
+    "lines": """lines AS (SELECT concat('p', floor(c_custkey / 40)::BIGINT::VARCHAR, '/', CASE WHEN c_custkey % 2 = 0 THEN 'src' ELSE 'tgt' END) AS cloud_id, floor((c_custkey % 40) / 2)::INT AS line_id,
+  cos(pi() * (c_custkey % 40) / 41.0::DOUBLE) AS a, sin(pi() * (c_custkey % 40) / 41.0::DOUBLE) AS b, c_acctbal / 2000.0::DOUBLE AS c FROM customer)""",
     "transforms": """transforms AS (SELECT c_custkey AS pair_idx, concat(c_nationkey::VARCHAR, '.ply') AS source, concat((c_custkey % 7)::VARCHAR, '.ply') AS target,
   c_acctbal / 1000.0::DOUBLE AS yaw_gt, c_acctbal / 1000.0::DOUBLE + (c_custkey % 13)::DOUBLE * 0.01::DOUBLE AS yaw_est, (c_custkey % 5)::DOUBLE * 0.5::DOUBLE AS terr FROM customer)""",
     "runtimes": """runtimes AS (SELECT o_custkey AS pair_idx, min(o_totalprice) / 1000.0::DOUBLE AS time_s FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)""",

@@ -1,4 +1,5 @@
 import importlib
+import itertools
 import sys
 
 import duckdb
@@ -7,10 +8,11 @@ import pytest
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from strataform.operators import matching as M  # noqa: E402
 from strataform.plans import catalog  # noqa: E402
 
 
-@pytest.mark.parametrize("name", ["voxel_downsample", "planar_voxels", "neighbor_mask", "hough_topk_lines", "line_graph_edges", "seed_topk", "max_weight_clique", "nn_voxel_join", "z_offset", "registration_summary"])
+@pytest.mark.parametrize("name", ["voxel_downsample", "planar_voxels", "neighbor_mask", "hough_topk_lines", "line_graph_edges", "node_slots", "seed_topk", "distance_similarity", "clique_weight", "rigid2d_fit", "inlier_count", "nn_voxel_join", "z_offset", "registration_summary"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -24,27 +26,51 @@ def test_query_equals_sql(spark, name):
 
 def test_all_ranked_seeds_equal_brute_force(spark):
     at = {(r.cloud_id, r.id): (r.x, r.y) for r in catalog._nodes(spark, FOLDER).collect()}
-    ranked = sorted(catalog._ranked(spark, FOLDER).collect(), key=lambda r: r["rank"])
-    assert len(ranked) > 200
-    s, t = (np.array([at[side, r[side]] for r in ranked]) for side in ("src", "tgt"))
-    apart = lambda p: np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
-    gap = np.abs(apart(s) - apart(t))[np.triu_indices(len(ranked), 1)]
-    weight = np.where(gap <= catalog.LENGTH, np.exp(-(gap**2) / (2 * catalog.LENGTH**2)), -1.0)
-    run = lambda name: catalog.QUERIES[name](spark, FOLDER)
-    pairs = run("distance_similarity_all").toPandas().sort_values(["i", "j"])
-    assert len(pairs) == len(weight) and np.abs(pairs["weight"].to_numpy() - weight).max() < 2e-6
-    total = run("clique_weight_all").first()
-    assert total.links == (weight > 0).sum() and abs(total.weight - weight[weight > 0].sum()) < 1e-4
-    (a, b), (c, d) = (s - s.mean(0)).T, (t - t.mean(0)).T
-    yaw = np.arctan2((a * d - b * c).sum(), (a * c + b * d).sum())
-    turn = np.array([[np.cos(yaw), -np.sin(yaw)], [np.sin(yaw), np.cos(yaw)]])
-    shift = t.mean(0) - turn @ s.mean(0)
-    fit = run("rigid2d_fit_all").first()
-    assert fit.n == len(ranked) and np.abs(np.array([fit.yaw, fit.dx, fit.dy]) - [yaw, *shift]).max() < 1e-5
-    source, target = (np.array([p for (side, _), p in at.items() if side == name]) for name in ("src", "tgt"))
-    moved = source @ turn.T + shift
-    near = ((moved[:, None] - target[None]) ** 2).sum(2).min(1) <= catalog.LENGTH**2
-    assert run("inlier_count_all").first().inliers == near.sum()
+    seeds = sorted(catalog._ranked(spark, FOLDER).collect(), key=lambda r: (r.pair_id, r["rank"]))
+    run = lambda name: catalog.QUERIES[name](spark, FOLDER).collect()
+    pairs = {p: list(g) for p, g in itertools.groupby(seeds, lambda r: r.pair_id)}
+    rows, totals, fits, inliers = {}, {r.pair_id: r for r in run("clique_weight")}, {r.pair_id: r for r in run("rigid2d_fit")}, {r.pair_id: r.inliers for r in run("inlier_count")}
+    for r in run("distance_similarity"):
+        rows.setdefault(r.pair_id, {})[r.i] = r
+    assert len(pairs) == 4 and set(pairs) == set(rows) == set(totals) == set(fits) == set(inliers)
+    for pair, ranked in pairs.items():
+        s, t = (np.array([at[f"{pair}/{side}", r[side]] for r in ranked]) for side in ("src", "tgt"))
+        apart = lambda p: np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
+        gap = np.abs(apart(s) - apart(t))
+        weight = np.triu(np.where(gap <= catalog.LENGTH, np.exp(-(gap**2) / (2 * catalog.LENGTH**2)), -1.0), 1)
+        assert [ranked[k]["rank"] for k in range(len(ranked))] == list(range(1, len(ranked) + 1))
+        for k in range(len(ranked) - 1):
+            r = rows[pair][k + 1]
+            assert (r.n, r.links) == (len(ranked) - 1 - k, (weight[k] > 0).sum()) and abs(r.weight - weight[k].sum()) < 1e-5
+        assert totals[pair].links == (weight > 0).sum() and abs(totals[pair].weight - weight[weight > 0].sum()) < 1e-4
+        (a, b), (c, d) = (s - s.mean(0)).T, (t - t.mean(0)).T
+        yaw = np.arctan2((a * d - b * c).sum(), (a * c + b * d).sum())
+        turn = np.array([[np.cos(yaw), -np.sin(yaw)], [np.sin(yaw), np.cos(yaw)]])
+        shift = t.mean(0) - turn @ s.mean(0)
+        assert fits[pair].n == len(ranked) and np.abs(np.array([fits[pair].yaw, fits[pair].dx, fits[pair].dy]) - [yaw, *shift]).max() < 1e-5
+        source, target = (np.array([p for (name, _), p in at.items() if name == f"{pair}/{side}"]) for side in ("src", "tgt"))
+        moved = source @ turn.T + shift
+        assert inliers[pair] == (((moved[:, None] - target[None]) ** 2).sum(2).min(1) <= catalog.LENGTH**2).sum()
+
+
+def test_heaviest_cliques_cover_every_pair(spark):
+    """No clique of one candidate is heavier than that of all its pair's matches, and small tables give brute force's."""
+    best = {r.pair_id: r for r in catalog.QUERIES["max_weight_clique"](spark, FOLDER).collect()}
+    grown = {}
+    for r in catalog.QUERIES["congruent_subgraphs"](spark, FOLDER).collect():
+        grown[r.pair_id] = max(grown.get(r.pair_id, 0.0), r.weight)
+    assert set(best) == set(grown) == {"p0", "p1", "p2", "p3"} and all(best[p].weight >= grown[p] - 1e-5 for p in grown)
+    rng = np.random.default_rng(3)
+    matches = [(f"q{p}", k, *map(float, rng.uniform(0, 4, 4))) for p in range(3) for k in range(9)]
+    similar = M.similarity(spark.createDataFrame(matches, "pair_id string, k int, sx double, sy double, tx double, ty double"), 1.0)
+    weights = {}
+    for r in similar.collect():
+        weights.setdefault(r.pair_id, {})[r.i, r.j] = r.weight
+    for r in M.cliques(similar).collect():
+        w = weights[r.pair_id]
+        sets = [c for n in range(2, 10) for c in itertools.combinations(range(9), n) if all(w[e] > 0 for e in itertools.combinations(c, 2))]
+        top = max(sum(w[e] for e in itertools.combinations(c, 2)) for c in sets)
+        assert abs(r.weight - top) < 1e-9 and abs(sum(w[e] for e in itertools.combinations(r.members, 2)) - top) < 1e-9
 
 
 def test_entry_works_without_the_removable_part(monkeypatch):
