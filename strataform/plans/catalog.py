@@ -173,8 +173,9 @@ def _fore(spark: SparkSession, d: str) -> DataFrame:
 
 # fixed values, written out apart from the code under test: neighbours 0..7, anticlockwise from the right, rows growing down
 _RING = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
+_RING_VALUES = ", ".join(f"({r}, {c}, {1 << k})" for k, (r, c) in enumerate(_RING))
 _MASKS = f"""masks AS (SELECT f.cloud_id, f.row, f.col, coalesce(sum(o.bit), 0)::BIGINT AS mask
-  FROM fore f LEFT JOIN (SELECT g.cloud_id, g.row - n.dr AS row, g.col - n.dc AS col, n.bit FROM fore g, (VALUES {", ".join(f"({r}, {c}, {1 << k})" for k, (r, c) in enumerate(_RING))}) n(dr, dc, bit)) o
+  FROM fore f LEFT JOIN (SELECT g.cloud_id, g.row - n.dr AS row, g.col - n.dc AS col, n.bit FROM fore g, (VALUES {_RING_VALUES}) n(dr, dc, bit)) o
   ON o.cloud_id = f.cloud_id AND o.row = f.row AND o.col = f.col GROUP BY ALL)"""
 
 
@@ -198,7 +199,20 @@ def thin_one_pass(spark: SparkSession, d: str) -> DataFrame:
     return P.thin_once(_fore(spark, d), _images(spark, d))
 
 
-@query()
+# both passes in turn, as often as one of them still removes a pixel of the cloud: two quiet ones in a row end it
+_FIXPOINT = f"""steps AS (SELECT cloud_id, row, col, width, height, 0 AS pass, 0 AS quiet FROM fore JOIN image USING (cloud_id)
+  UNION ALL
+  SELECT cloud_id, row, col, width, height, pass + 1, CASE WHEN total = 0 THEN quiet + 1 ELSE 0 END FROM (SELECT *, sum(gone::INT) OVER (PARTITION BY cloud_id) AS total FROM (
+    SELECT *, row BETWEEN 1 AND height - 2 AND col BETWEEN 1 AND width - 2 AND (1 - b0) * (b1 | b2) + (1 - b2) * (b3 | b4) + (1 - b4) * (b5 | b6) + (1 - b6) * (b7 | b0) = 1
+      AND least((b0 | b1) + (b2 | b3) + (b4 | b5) + (b6 | b7), (b1 | b2) + (b3 | b4) + (b5 | b6) + (b7 | b0)) BETWEEN 2 AND 3
+      AND CASE WHEN pass % 2 = 0 THEN (b1 | b2 | (1 - b7)) & b0 ELSE (b5 | b6 | (1 - b3)) & b4 END = 0 AS gone
+    FROM (SELECT *, mask & 1 AS b0, mask >> 1 & 1 AS b1, mask >> 2 & 1 AS b2, mask >> 3 & 1 AS b3, mask >> 4 & 1 AS b4, mask >> 5 & 1 AS b5, mask >> 6 & 1 AS b6, mask >> 7 & 1 AS b7 FROM (
+      SELECT s.cloud_id, s.row, s.col, s.width, s.height, s.pass, s.quiet, coalesce(sum(o.bit), 0)::BIGINT AS mask FROM steps s
+      LEFT JOIN (SELECT g.cloud_id, g.row - n.dr AS row, g.col - n.dc AS col, n.bit FROM steps g, (VALUES {_RING_VALUES}) n(dr, dc, bit)) o
+      ON o.cloud_id = s.cloud_id AND o.row = s.row AND o.col = s.col WHERE s.quiet < 2 GROUP BY ALL)))) WHERE NOT gone)"""
+
+
+@query("WITH RECURSIVE " + _with("points", _BOX, _IMAGE, _PIXELS, _FORE, _FIXPOINT)[5:] + "SELECT cloud_id, row, col FROM steps WHERE quiet = 2")
 def thin_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return P.thin(_fore(spark, d), _images(spark, d))
 

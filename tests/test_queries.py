@@ -24,6 +24,14 @@ def test_query_equals_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in columns)) for r in frame.collect()) == sorted(str(tuple(r[k] for k in order)) for r in told.fetchall())
 
 
+def test_thinning_to_the_end_equals_sql(spark):
+    folder = FOLDER.replace("sf0.001", "sf0.01")  # no pixel of the smallest tables holds enough points
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    got = [(r.cloud_id, r.row, r.col) for r in catalog.QUERIES["thin_fixpoint"](spark, folder).collect()]
+    assert len(got) > 1000 and sorted(got) == sorted(con.execute(catalog.ORACLES["thin_fixpoint"]).fetchall())
+
+
 def test_all_ranked_seeds_equal_brute_force(spark):
     at = {(r.cloud_id, r.id): (r.x, r.y) for r in catalog._nodes(spark, FOLDER).collect()}
     seeds = sorted(catalog._ranked(spark, FOLDER).collect(), key=lambda r: (r.pair_id, r["rank"]))
