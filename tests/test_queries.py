@@ -61,6 +61,28 @@ def test_all_ranked_seeds_equal_brute_force(spark):
         assert inliers[pair] == (((moved[:, None] - target[None]) ** 2).sum(2).min(1) <= catalog.LENGTH**2).sum()
 
 
+def test_similarity_rows_equal_the_cells_without_making_them(spark):
+    rng = np.random.default_rng(5)
+    nodes = [(f"q{p}", side, k, *map(float, rng.uniform(0, 6, 2))) for p in range(3) for side in ("src", "tgt") for k in range(12)]
+    at = {(p, side, k): (x, y) for p, side, k, x, y in nodes}
+    seeds = [(f"q{p}", int(rng.integers(12)), int(rng.integers(12)), k + 1) for p, n in enumerate((70, 2, 1)) for k in range(n)]
+    matches = [(p, k, *at[p, "src", s], *at[p, "tgt", t]) for p, s, t, k in seeds]
+    ranked = spark.createDataFrame(seeds, "pair_id string, src int, tgt int, rank int")
+    found = M.similarity_rows(ranked, spark.createDataFrame(nodes[::-1], "pair_id string, side string, id int, x double, y double"), 1.0)
+    cells = {}
+    for r in M.similarity(spark.createDataFrame(matches, "pair_id string, k int, sx double, sy double, tx double, ty double"), 1.0).collect():
+        cells.setdefault((r.pair_id, r.i), []).append(r.weight)
+    got = {(r.pair_id, r.i): r for r in found.collect()}
+    assert set(got) == set(cells) and len(got) == 70
+    assert all((got[k].n, got[k].links) == (len(w), sum(x > 0 for x in w)) and abs(got[k].weight - sum(w)) < 1e-9 for k, w in cells.items())
+    iu, iv = (np.array([s[c] for s in seeds if s[0] == "q0"]) for c in (1, 2))
+    apart = lambda side: np.array([[np.hypot(*np.subtract(at["q0", side, i], at["q0", side, j])) for j in range(12)] for i in range(12)])
+    blocks = [M._triangle_rows(iu, iv, apart("src"), apart("tgt"), 1.0, cells) for cells in (1, 300, 1 << 16)]
+    assert all((b[0] == blocks[0][0]).all() and np.abs(b[1] - blocks[0][1]).max() < 1e-9 for b in blocks)
+    plan = catalog.QUERIES["distance_similarity"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[1].lstrip("+- ").startswith("FlatMapCoGroupsInArrow")  # no aggregate over a join of matches
+
+
 def test_heaviest_cliques_cover_every_pair(spark):
     """No clique of one candidate is heavier than that of all its pair's matches, and small tables give brute force's."""
     best = {r.pair_id: r for r in catalog.QUERIES["max_weight_clique"](spark, FOLDER).collect()}
