@@ -46,17 +46,77 @@ def medians(values: DataFrame, key: str, value: str) -> DataFrame:
     return found.groupBy(key).agg(F.avg("v").alias("median"))
 
 
-def residuals(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+#: A cloud up to so many points is measured whole in a task, which takes about so many errors or so many pairs.
+POINTS, ERRORS, PAIRS = 1 << 20, 1 << 26, 1 << 13
+_GAPS = [f"g{k}" for k in range(12)]
+
+
+def _measured(points, pairs):
+    """n, rmse and median of every pair's errors on one cloud, a few pairs at a time; nulls do not count, and NaN only in the mean."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = points.filter(points["given"])
+    x, y, z = (whole[c].to_numpy() for c in "xyz")
+    gaps = np.column_stack([pairs[c].to_numpy(zero_copy_only=False) for c in _GAPS])
+    m, step = len(x), max(1, (1 << 16) // max(1, len(x)))
+    rmse, median, counted = np.zeros(len(gaps)), np.zeros(len(gaps)), np.zeros(len(gaps), np.int64)
+    for at in range(0, len(gaps) if m else 0, step):
+        part, square = slice(at, at + step), 0.0
+        g = gaps[part, :, None]
+        with np.errstate(all="ignore"):
+            for k in (0, 4, 8):
+                d = g[:, k] * x + g[:, k + 1] * y + g[:, k + 2] * z + g[:, k + 3]
+                square = square + d * d
+            rmse[part] = np.sqrt(square.mean(axis=1))
+            v = counted[part] = m - np.isnan(square).sum(axis=1)
+            if (v == m).all():
+                square.partition(((m - 1) // 2, m // 2), axis=1)
+            else:
+                square.sort(axis=1)  # NaN at the end
+            rows = np.arange(len(v))
+            median[part] = (np.sqrt(square[rows, np.maximum(v - 1, 0) // 2]) + np.sqrt(square[rows, v // 2])) / 2
+    known = pairs["known"].to_numpy(zero_copy_only=False)
+    column = lambda values, there: pa.array(values, mask=~there)
+    return pa.table({"pair_idx": pairs["pair_idx"], "n": np.full(len(gaps), points.num_rows), "rmse": column(rmse, known & (m > 0)), "median_error": column(median, known & (counted > 0))})
+
+
+def residuals(points: DataFrame, pairs: DataFrame, key: str, most: int = POINTS) -> DataFrame:
     """RMSE and exact median of the distances between points under both transforms: pair_idx, n, rmse, median_error.
 
-    pairs: pair_idx, ``key``, truth, estimate (row-major 4x4). Pairs are few beside points: the planner broadcasts them while small.
+    pairs: pair_idx, ``key``, truth, estimate (row-major 4x4). The errors are as many
+    as points times pairs and are never written: a task holds a cloud and measures its
+    share of the cloud's pairs. Clouds above ``most`` points, and pairs of several
+    rows, have their errors counted by ranges, computed anew for each count.
     """
-    x, y, z = (F.col(c).cast("double") for c in "xyz")
-    a, b = G.moved(F.col("truth"), x, y, z), G.moved(F.col("estimate"), x, y, z)
-    error = F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0)))
-    joined = scratch.written(points.join(pairs, key).select("pair_idx", error.alias("error")), "errors")
-    sums = joined.groupBy("pair_idx").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
-    return sums.join(medians(joined, "pair_idx", "error").withColumnRenamed("median", "median_error"), "pair_idx", "left")
+    place = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    points = points.select(key, *place, (F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).alias("given"))
+    gaps = [(F.col("truth")[k].cast("double") - F.col("estimate")[k].cast("double")).alias(c) for k, c in enumerate(_GAPS)]
+    pairs = pairs.select("pair_idx", key, *gaps).withColumn("known", F.forall(F.array(*_GAPS), lambda x: x.isNotNull()))
+    # small tables, so that the joins with them move no pair and no point
+    sizes = points.groupBy(key).agg(F.count("*").alias("size")).join(pairs.groupBy(key).agg(F.count("*").alias("pairs")), key)
+    shares = F.greatest(F.ceil(F.col("size") * F.col("pairs") / ERRORS), F.ceil(F.col("pairs") / PAIRS)).alias("shares")
+    clouds = scratch.written(sizes.select(key, "size", shares), "clouds")
+    again = scratch.written(pairs.groupBy("pair_idx").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("pair_idx").alias("again")), "pairs")
+    once = pairs.join(clouds, key).join(again, F.col("pair_idx").eqNullSafe(F.col("again")), "left_anti")
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a stated number is not merged
+    left = points.join(clouds.filter(F.col("size") <= most), key).select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), "x", "y", "z", "given")
+    right = once.filter(F.col("size") <= most).withColumn("share", F.pmod(F.xxhash64("pair_idx"), F.col("shares"))).drop("size", "shares")
+    left, right = (d.repartition(spread, key, "share").groupBy(key, "share") for d in (left, right.toDF(*right.columns)))
+    kind = pairs.schema["pair_idx"].dataType.simpleString()
+    whole = left.cogroup(right).applyInArrow(_measured, f"pair_idx {kind}, n bigint, rmse double, median_error double")
+    beyond = pairs.join(clouds, key).join(again, F.col("pair_idx").eqNullSafe(F.col("again")), "left")
+    rest = scratch.written(beyond.filter((F.col("size") > most) | F.col("again").isNotNull()).select(*pairs.columns), "pairs")
+    return whole if rest.isEmpty() else whole.unionByName(_counted(points, rest, key))
+
+
+def _counted(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The same by aggregates, for pairs with more errors than a task should hold."""
+    apart = [sum((F.col(_GAPS[4 * k + i]) * F.col(c) for i, c in enumerate("xyz")), F.lit(0.0)) + F.col(_GAPS[4 * k + 3]) for k in range(3)]
+    errors = points.join(pairs, key).select("pair_idx", F.sqrt(sum((d * d for d in apart), F.lit(0.0))).alias("error"))
+    sums = errors.groupBy("pair_idx").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
+    found = medians(errors, "pair_idx", "error").select(F.col("pair_idx").alias("at"), F.col("median").alias("median_error"))
+    return sums.join(found, F.col("pair_idx").eqNullSafe(F.col("at")), "left").drop("at")
 
 
 def scored(pairs: DataFrame, points: DataFrame, times: DataFrame, key: str, time_key: str | list[str], max_rotation: float, max_translation: float) -> DataFrame:

@@ -2,12 +2,15 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from strataform import scratch
 from strataform.engine import PointCloudEngine
 from strataform.functions import geometry as G
 from strataform.operators import lines as L
@@ -17,6 +20,7 @@ from strataform.operators import scoring as C
 from strataform.operators import solve as S
 from strataform.operators import voxels as V
 from strataform.params import Params
+from strataform.plans import catalog
 from strataform.sources import ply, tables
 
 
@@ -257,3 +261,42 @@ def test_medians_equal_numpy(spark):
     rows = [(k, float(v)) for k, g in groups.items() for v in g] + [(1, None), (4, float("nan")), (9, None)]
     got = {x.k: x.median for x in C.medians(spark.createDataFrame(rows, "k int, v double").repartition(5), "k", "v").collect()}
     assert got == {k: float(np.median(g)) for k, g in groups.items()}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_residuals_write_no_errors(spark, most):
+    """Clouds held whole and, above ``most`` points, counted; with nulls, NaN, a pair of two rows, no cloud and an unknown transform."""
+    rng = np.random.default_rng(2)
+    clouds = {"a": rng.normal(size=(30, 3)), "b": rng.normal(size=(61, 3)), "c": np.zeros((2, 3))}
+    points = [(k, *map(float, p)) for k, own in clouds.items() for p in own] + [("a", None, 1.0, 1.0), ("b", float("nan"), 1.0, 1.0), (None, 1.0, 1.0, 1.0)]
+    pairs = [(k, "abcd"[k % 4], rng.normal(size=16).tolist(), rng.normal(size=16).tolist()) for k in range(40)]
+    pairs += [(0, "b", rng.normal(size=16).tolist(), rng.normal(size=16).tolist()), (50, "a", [None] * 16, [1.0] * 16), (51, "b", [2.0] * 16, None), (52, None, [2.0] * 16, [1.0] * 16)]
+    before = len(scratch._written)
+    frames = spark.createDataFrame(points, "k string, x double, y double, z double").repartition(3), spark.createDataFrame(pairs, "pair_idx int, k string, truth array<double>, estimate array<double>").repartition(3)
+    got = {r.pair_idx: (r.n, r.rmse, r.median_error) for r in C.residuals(*frames, "k", most).collect()}
+    errors = {}
+    for idx, k, truth, estimate in pairs:
+        if k in clouds and estimate and truth[0] is not None:
+            gap = (np.subtract(truth, estimate)).reshape(4, 4)[:3]
+            errors.setdefault(idx, []).extend(np.linalg.norm(clouds[k] @ gap[:, :3].T + gap[:, 3], axis=1))
+    extra = {idx: sum(k in "ab" for i, k, *_ in pairs if i == idx and k) for idx in errors}
+    assert set(got) == {*errors, 50, 51} and got.pop(50) == (31, None, None) and got.pop(51) == (62, None, None)
+    for idx, (n, rmse, median) in got.items():
+        assert n == len(errors[idx]) + extra[idx] and abs(median - np.median(errors[idx])) < 1e-9
+        assert np.isnan(rmse) if any(k == "b" for i, k, *_ in pairs if i == idx) else abs(rmse - np.sqrt(np.mean(np.square(errors[idx])))) < 1e-9
+    assert not any(p.endswith("-errors") for p in scratch._written[before:])
+
+
+@pytest.mark.parametrize("name", ["rmse_median_error"])
+def test_scoring_queries_equal_sql(spark, name):
+    con, folder = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("customer", "orders", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    before = len(scratch._written)
+    frame = catalog.QUERIES[name](spark, folder)
+    got = sorted(map(str, frame.collect()))
+    told = con.execute(catalog.ORACLES[name]).fetchdf()
+    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+    assert got == sorted(str(Row(**{c: plain(r[c]) for c in frame.columns})) for r in told.astype(object).to_dict("records"))
+    written = [p for p in scratch._written[before:] if "errors" in p]
+    assert len(got) in (1, 1500) and not written
