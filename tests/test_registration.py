@@ -287,7 +287,7 @@ def test_residuals_write_no_errors(spark, most):
     assert not any(p.endswith("-errors") for p in scratch._written[before:])
 
 
-@pytest.mark.parametrize("name", ["rmse_median_error", "scoring_summary"])
+@pytest.mark.parametrize("name", ["rmse_median_error", "scoring_summary", "strict_success"])
 def test_scoring_queries_equal_sql(spark, name):
     con, folder = duckdb.connect(), "/root/testdata/sf0.01"
     for t in ("customer", "orders", "embeddings"):
