@@ -103,6 +103,19 @@ def test_heaviest_cliques_cover_every_pair(spark):
         assert abs(r.weight - top) < 1e-9 and abs(sum(w[e] for e in itertools.combinations(r.members, 2)) - top) < 1e-9
 
 
+def test_heaviest_equals_the_cliques_of_similar_rows(spark):
+    """Also for one match, for two that nothing links, and for matches that share a node."""
+    rng = np.random.default_rng(8)
+    matches = [("a", k, *map(float, rng.integers(0, 5, 4) + rng.uniform(0, 0.2, 4))) for k in range(40)] + [("b", 7, 0.0, 0.0, 0.0, 0.0), ("c", 1, 0.0, 0.0, 0.0, 0.0), ("c", 2, 9.0, 0.0, 0.0, 0.0), ("d", 1, 1.0, 1.0, 0.0, 0.0), ("d", 2, 1.0, 1.0, 0.5, 0.0)]
+    frame = spark.createDataFrame(matches, "pair_id string, k int, sx double, sy double, tx double, ty double").repartition(3)
+    told = {r.pair_id: r for r in M.cliques(M.similarity(frame, 1.0)).collect()}
+    got = {r.pair_id: r for r in M.heaviest(frame, 1.0).collect()}
+    assert set(got) == set(told) == {"a", "c", "d"} and got["c"].members == [] and got["c"].weight == 0.0 and len(got["a"].members) > 2
+    assert all(got[p].members == told[p].members and abs(got[p].weight - told[p].weight) < 1e-9 for p in told)
+    plan = catalog.QUERIES["max_weight_clique"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[1].lstrip("+- ").startswith("FlatMapGroupsInArrow")  # no join of matches with themselves
+
+
 def test_entry_works_without_the_removable_part(monkeypatch):
     monkeypatch.setitem(sys.modules, "strataform.llm", None)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
