@@ -46,8 +46,9 @@ def medians(values: DataFrame, key: str, value: str) -> DataFrame:
     return found.groupBy(key).agg(F.avg("v").alias("median"))
 
 
-#: A cloud up to so many points is measured whole in a task, which takes about so many errors or so many pairs.
-POINTS, ERRORS, PAIRS = 1 << 20, 1 << 26, 1 << 13
+#: A cloud up to so many points is measured whole in a task, which takes about so many errors or so many pairs; more
+#: errors if that makes over so many shares a partition, and as many pairs as points, up to so many.
+POINTS, ERRORS, PAIRS, SHARES, MOST_PAIRS = 1 << 20, 1 << 26, 1 << 13, 4, 1 << 17
 _GAPS = [f"g{k}" for k in range(12)]
 
 
@@ -86,7 +87,8 @@ def residuals(points: DataFrame, pairs: DataFrame, key: str, most: int = POINTS)
 
     pairs: pair_idx, ``key``, truth, estimate (row-major 4x4). The errors are as many
     as points times pairs and are never written: a task holds a cloud and measures its
-    share of the cloud's pairs. Clouds above ``most`` points, and pairs of several
+    share of the cloud's pairs. Every share is sent the whole cloud, so there are no
+    more of them than tasks can use. Clouds above ``most`` points, and pairs of several
     rows, have their errors counted by ranges, computed anew for each count.
     """
     place = [F.col(c).cast("double").alias(c) for c in "xyz"]
@@ -95,11 +97,14 @@ def residuals(points: DataFrame, pairs: DataFrame, key: str, most: int = POINTS)
     pairs = pairs.select("pair_idx", key, *gaps).withColumn("known", F.forall(F.array(*_GAPS), lambda x: x.isNotNull()))
     # small tables, so that the joins with them move no pair and no point
     sizes = points.groupBy(key).agg(F.count("*").alias("size")).join(pairs.groupBy(key).agg(F.count("*").alias("pairs")), key)
-    shares = F.greatest(F.ceil(F.col("size") * F.col("pairs") / ERRORS), F.ceil(F.col("pairs") / PAIRS)).alias("shares")
-    clouds = scratch.written(sizes.select(key, "size", shares), "clouds")
+    sizes = scratch.written(sizes, "clouds")
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a stated number is not merged
+    work = F.col("size").cast("double") * F.col("pairs")
+    each = max(ERRORS, (sizes.filter(F.col("size") <= most).agg(F.sum(work)).first()[0] or 0) / (SHARES * spread))
+    held = F.least(F.greatest(F.lit(PAIRS), F.col("size")), F.lit(MOST_PAIRS))
+    clouds = sizes.select(key, "size", F.greatest(F.ceil(work / each), F.ceil(F.col("pairs") / held)).alias("shares"))
     again = scratch.written(pairs.groupBy("pair_idx").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("pair_idx").alias("again")), "pairs")
     once = pairs.join(clouds, key).join(again, F.col("pair_idx").eqNullSafe(F.col("again")), "left_anti")
-    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a stated number is not merged
     left = points.join(clouds.filter(F.col("size") <= most), key).select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), "x", "y", "z", "given")
     right = once.filter(F.col("size") <= most).withColumn("share", F.pmod(F.xxhash64("pair_idx"), F.col("shares"))).drop("size", "shares")
     left, right = (d.repartition(spread, key, "share").groupBy(key, "share") for d in (left, right.toDF(*right.columns)))

@@ -287,6 +287,24 @@ def test_residuals_write_no_errors(spark, most):
     assert not any(p.endswith("-errors") for p in scratch._written[before:])
 
 
+def test_copies_of_clouds_are_few(spark, monkeypatch):
+    """A cloud is sent to as many shares as tasks can use, however many errors its pairs have."""
+    n, m = 2000, 300
+    monkeypatch.setattr(C, "ERRORS", 1 << 10)
+    cloud = np.random.default_rng(4).normal(size=(n, 3))
+    truth = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.sin(k * F.col("id")))
+    points = spark.createDataFrame([("a", *map(float, p)) for p in cloud], "k string, x double, y double, z double")
+    pairs = spark.range(m).select(F.col("id").alias("pair_idx"), F.lit("a").alias("k"), truth.alias("truth"), F.array(*[F.lit(0.0)] * 16).alias("estimate"))
+    sent, plain = [], type(points).repartition
+    monkeypatch.setattr(type(points), "repartition", lambda self, *a: sent.append(self.count()) or plain(self, *a))
+    got = {r.pair_idx: (r.n, r.rmse, r.median_error) for r in C.residuals(points, pairs, "k").collect()}
+    assert len(got) == m and sent[0] <= 4 * n * int(spark.conf.get("spark.sql.shuffle.partitions")) and sent[1] == m
+    for k in (1, 7, m - 1):
+        gap = np.sin(np.arange(1, 17) * k).reshape(4, 4)[:3]
+        errors = np.linalg.norm(cloud @ gap[:, :3].T + gap[:, 3], axis=1)
+        assert got[k][0] == n and abs(got[k][1] - np.sqrt(np.mean(errors**2))) < 1e-9 and abs(got[k][2] - np.median(errors)) < 1e-9
+
+
 @pytest.mark.parametrize("name", ["rmse_median_error", "scoring_summary", "strict_success"])
 def test_scoring_queries_equal_sql(spark, name):
     con, folder = duckdb.connect(), "/root/testdata/sf0.01"
